@@ -5,8 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "op1_repetition",
     "op6_ngram_join",
     "op8_radix_dedup",
+    "op10_mixing",
 )
 
 
