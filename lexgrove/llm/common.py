@@ -83,3 +83,71 @@ def conf(spark: SparkSession, **values: str):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+BLOOM_MOST_BITS, BLOOM_BLOCK = 1 << 29, 1 << 19
+
+
+def _bloom_places(x, bits: int):
+    import numpy as np
+
+    from .bytesops import mix
+
+    h = mix(x.view(np.uint64).copy())
+    g = mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    return [((h + np.uint64(k) * g) & np.uint64(bits - 1)).astype(np.int64) for k in range(4)]
+
+
+def may_be_among(ids: DataFrame):
+    """A Column function that is true for every value of ``ids`` (one long column) and false for most others.
+
+    It is a Bloom filter of twelve to 24 bits a value, but of 64 MB at most, beyond
+    which it only lets more rows pass; the caller joins afterwards.  Built by the
+    executors from partial bitmaps; the driver gets the final blocks.  It is there
+    to keep texts out of a shuffle that only some of them need.
+    """
+    import zlib
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    bits = max(1 << 19, min(BLOOM_MOST_BITS, 1 << (ids.count() * 12).bit_length()))
+    names = ["block", "field"]
+
+    def part(batches):
+        field = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            x = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for p in _bloom_places(x, bits):
+                np.bitwise_or.at(field, p >> 3, np.left_shift(np.uint8(1), (p & 7).astype(np.uint8)))
+        for k in range(0, bits // 8, BLOOM_BLOCK // 8):
+            block = field[k : k + BLOOM_BLOCK // 8]
+            if block.any():
+                yield pa.record_batch([pa.array([k]), pa.array([zlib.compress(block.tobytes(), 1)], pa.binary())], names)
+
+    def union(batches):
+        for t in by_key(batches, "block"):
+            whole: dict = {}
+            for k, c in zip(t["block"].to_pylist(), t["field"].to_pylist(), strict=True):
+                x = np.frombuffer(zlib.decompress(c), np.uint8)
+                whole[k] = whole[k] | x if k in whole else x
+            yield pa.record_batch([pa.array(list(whole), pa.int64()), pa.array([x.tobytes() for x in whole.values()], pa.binary())], names)
+
+    schema = "block long, field binary"
+    field = np.zeros(bits // 8, np.uint8)
+    for r in ids.mapInArrow(part, schema).repartition("block").sortWithinPartitions("block").mapInArrow(union, schema).collect():
+        field[r.block : r.block + BLOOM_BLOCK // 8] = np.frombuffer(r.field, np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(field.tobytes())
+
+    @F.pandas_udf("boolean")
+    def among(x):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        have = np.frombuffer(shared.value, np.uint8)
+        ok = x.notna().to_numpy()
+        v = x.fillna(0).to_numpy().astype(np.int64)
+        for p in _bloom_places(v, bits):
+            ok &= (have[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
+        return pd.Series(ok)
+
+    return among

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import may_be_among, table, written
 
 FIRST, GROW = 64, 8
 
@@ -29,23 +29,23 @@ def copies(docs: DataFrame, first: int = FIRST, grow: int = GROW) -> DataFrame:
     """
     if first < 1 or grow < 1:
         raise ValueError("digits have one byte at least")
-    spark = docs.sparkSession
-    todo = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "utf-8").alias("bytes")).where("doc_id is not null and text is not null")
-    group = None  # doc_id, its group's name (the least doc_id in it)
-    at, width, ended = 1, first, []
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "utf-8").alias("bytes")).where("doc_id is not null and text is not null")
+    rows = source.select("doc_id", F.lit(-1).cast("long").alias("grp"), F.substring("bytes", 1, first).alias("digit"), (F.octet_length("bytes") < first).alias("over"))
+    at, width, ended, rest = first + 1, first * grow, [], None
+    keys = ["grp", "digit", "over"]
     while True:
-        rows = todo if group is None else todo.join(group, "doc_id")
-        digit = F.substring("bytes", at, width)
-        rows = rows.select("doc_id", F.lit(-1).cast("long").alias("grp") if group is None else "grp", digit.alias("digit"), (F.octet_length("bytes") < at + width - 1).alias("over"))
-        keys = ["grp", "digit", "over"]
         # equal digits are combined before the shuffle; only groups of several go back to their rows
         several = rows.groupBy(*keys).agg(F.min("doc_id").alias("next"), F.count("*").alias("many")).where("many > 1").drop("many")
-        open_ = written(rows.join(several, keys).select("doc_id", F.col("next").alias("grp"), "over"), f"radix-{len(ended)}")
-        ended.append(open_.where("over").select("doc_id", "grp"))
-        going = open_.where("not over")
+        rows = written(rows.join(several.hint("merge"), keys).select("doc_id", F.col("next").alias("grp"), "over"), f"radix-{len(ended)}")
+        ended.append(rows.where("over").select("doc_id", "grp"))
+        going = rows.where("not over").select("doc_id", "grp").distinct()
         if going.isEmpty():
             break
-        group = going.select("doc_id", "grp").distinct()
+        if rest is None:  # texts of open documents, cut from the rest once
+            among = may_be_among(going.select("doc_id"))
+            rest = written(source.where(among("doc_id")).join(going.select("doc_id").hint("merge"), "doc_id", "left_semi"), "radix-open")
+        digits = rest.select("doc_id", F.substring("bytes", at, width).alias("digit"), (F.octet_length("bytes") < at + width - 1).alias("over"), (F.octet_length("bytes") >= at - 1).alias("there")).where("there").drop("there")
+        rows = digits.join(going.hint("merge"), "doc_id").select("doc_id", *keys)
         at, width = at + width, width * grow
     out = ended[0]
     for x in ended[1:]:
