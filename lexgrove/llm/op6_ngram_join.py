@@ -20,7 +20,7 @@ The result is exact for sets of 64-bit n-gram hashes, at any threshold.
 5. Signature pairs are expanded to document pairs.
 
 No stage collects documents.  What is broadcast is of fixed size: the sketch
-(4 MB) and a Bloom filter (at most 64 MB) that spares building sets of documents
+(8 MB) and a Bloom filter (at most 64 MB) that spares building sets of documents
 without candidates; an exact join follows the filter.
 """
 
@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import by_key, table, written
+from .common import by_key, may_be_among, table, written
 
-N, THRESHOLD, SMALL_CELL = 3, 0.5, 16
-SKETCH_BITS, BLOCK = 20, 1 << 14
+N, THRESHOLD, SMALL_CELL = 3, 0.5, 64
+SKETCH_BITS, BLOCK = 23, 1 << 17
 
 
 def _sets(batch: pa.RecordBatch, n: int, rows: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -73,13 +73,13 @@ def _needed(t: float, a: int, b: int) -> int:
 
 def _first_pass(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.int32)
         mask = np.uint64((1 << SKETCH_BITS) - 1)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             out = []
             for rows, bounds, g in _sets(batch, n):
-                sketch += np.bincount((g & mask).astype(np.int64), minlength=len(sketch))
+                np.add.at(sketch, (g & mask).astype(np.int64), np.int32(1))
                 out.append((ids[rows].astype(np.int64), signatures(bounds, g), np.diff(bounds)))
             if out:
                 i, s, z = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -96,14 +96,19 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in by_key(batches, "block"):
         total: dict[int, np.ndarray] = {}
         for k, c in zip(t["block"].to_pylist(), t["counts"].to_pylist(), strict=True):
-            x = np.frombuffer(zlib.decompress(c), np.int64)
-            total[k] = total[k] + x if k in total else x
-        yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array([np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
+            x = np.frombuffer(zlib.decompress(c), np.int32)
+            total[k] = total[k] + x if k in total else x.astype(np.int64)
+        yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array([_steps(x).tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
+
+
+def _steps(count: np.ndarray) -> np.ndarray:
+    """Counts on a scale of 256 steps, exact below 128."""
+    return np.where(count < 128, count, np.minimum(255, 128 + 4 * np.log2(np.maximum(count, 128) / 128))).astype(np.uint8)
 
 
 def _second_pass(n: int, t: float, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(sketch.value, np.int32)
+        counts = np.frombuffer(sketch.value, np.uint8)
         mask = np.uint64((1 << SKETCH_BITS) - 1)
         for batch in batches:
             for _, bounds, g in _sets(batch, n):
@@ -116,7 +121,7 @@ def _second_pass(n: int, t: float, sketch):
                 at = np.arange(len(g)) - np.repeat(bounds[:-1], size)
                 pick = (at < np.repeat(_prefix(size, t), size)) & once[row]
                 row = row[pick]
-                yield pa.record_batch([pa.array(g[order][pick].view(np.int64)), pa.array(sig[row]), pa.array(size[row])], ["gram", "sig", "size"])
+                yield pa.record_batch([pa.array(g[order][pick].view(np.int64)), pa.array(sig[row]), pa.array(size[row].astype(np.int32)), pa.array(at[pick].astype(np.int32))], ["gram", "sig", "size", "pos"])
 
     return run
 
@@ -125,21 +130,22 @@ def _cells(t: float, small: int):
     """Pairs from small cells, (set, set, leader) from larger ones; rows are sorted by gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "star", "size_a", "size_b", "leader"]
+        names = ["a", "b", "star", "size_a", "size_b", "pos_a", "pos_b", "leader"]
         for tab in by_key(batches, "gram"):
-            gram, sig, size = (tab[c].to_numpy() for c in ("gram", "sig", "size"))
+            gram, sig, size, pos = (tab[c].to_numpy() for c in ("gram", "sig", "size", "pos"))
             order = np.lexsort((sig, gram))
-            gram, sig, size = gram[order], sig[order], size[order]
+            gram, sig, size, pos = (x[order] for x in (gram, sig, size, pos))
             new = np.r_[True, (gram[1:] != gram[:-1]) | (sig[1:] != sig[:-1])]
-            gram, sig, size = gram[new], sig[new], size[new]
+            gram, sig, size, pos = (x[new] for x in (gram, sig, size, pos))
             first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
             many = np.diff(np.r_[first, len(gram)])
             leader, k, start = (np.repeat(x, many) for x in (sig[first], many, first))
             big = k > small
             if big.any():
-                s, z, lead = sig[big], size[big], leader[big]
-                yield pa.record_batch([pa.array(x) for x in (s, s, lead, z, z, lead)], names)
-            at, zero = np.arange(len(gram)), 0
+                star, at = np.unique(np.stack([sig[big], leader[big]]), axis=1, return_index=True)
+                z = size[big][at]
+                yield pa.record_batch([pa.array(x) for x in (star[0], star[0], star[1], z, z, z, z, star[1])], names)
+            at = np.arange(len(gram))
             for step in range(1, small):
                 x = np.flatnonzero(~big & (at - start + step < k))
                 if not len(x):
@@ -147,7 +153,7 @@ def _cells(t: float, small: int):
                 y = x + step
                 x, y = (v[np.minimum(size[x], size[y]) >= t * np.maximum(size[x], size[y]) - 1e-9] for v in (x, y))
                 if len(x):
-                    yield pa.record_batch([pa.array(v) for v in (sig[x], sig[y], np.full(len(x), zero, np.int64), size[x], size[y], leader[x])], names)
+                    yield pa.record_batch([pa.array(v) for v in (sig[x], sig[y], np.zeros(len(x), np.int64), size[x], size[y], pos[x], pos[y], leader[x])], names)
 
     return run
 
@@ -222,7 +228,7 @@ def _blocks(t: float, sketch):
         import sys
 
         sys.setrecursionlimit(100_000)
-        counts = np.frombuffer(sketch.value, np.int32)
+        counts = np.frombuffer(sketch.value, np.uint8)
         mask = np.uint64((1 << SKETCH_BITS) - 1)
         for tab in by_key(batches, "block"):
             block, sig = tab["block"].to_numpy(), tab["sig"].to_numpy()
@@ -254,43 +260,11 @@ def _blocks(t: float, sketch):
     return run
 
 
-def _bloom(ids: Iterator, count: int) -> tuple[bytes, int]:
-    bits = min(1 << 29, 1 << max(13, (count * 12).bit_length()))
-    field = np.zeros(bits // 8, np.uint8)
-    chunk: list[int] = []
-
-    def add() -> None:
-        x = np.array(chunk, np.int64).view(np.uint64)
-        for h in _bloom_hashes(x, bits):
-            np.bitwise_or.at(field, h >> 3, np.left_shift(np.uint8(1), (h & 7).astype(np.uint8)))
-
-    for i in ids:
-        chunk.append(i)
-        if len(chunk) == 1 << 16:
-            add()
-            chunk = []
-    if chunk:
-        add()
-    return field.tobytes(), bits
-
-
-def _bloom_hashes(x: np.ndarray, bits: int) -> list[np.ndarray]:
-    h = B.mix(x.copy())
-    g = B.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    return [((h + np.uint64(k) * g) & np.uint64(bits - 1)).astype(np.int64) for k in range(4)]
-
-
-def _third_pass(n: int, bloom, bits: int):
+def _third_pass(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.frombuffer(bloom.value, np.uint8)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = np.ones(len(ids), bool)
-            for h in _bloom_hashes(ids.view(np.uint64), bits):
-                hit &= (field[h >> 3] >> (h & 7).astype(np.uint8)) & 1 > 0
-            if not hit.any():
-                continue
-            for rows, bounds, g in _sets(batch, n, np.flatnonzero(hit)):
+            for rows, bounds, g in _sets(batch, n):
                 raw = g.tobytes()
                 yield pa.record_batch([pa.array(ids[rows]), pa.array(signatures(bounds, g)), pa.array([raw[8 * x : 8 * y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["doc_id", "sig", "grams"])
 
@@ -306,26 +280,26 @@ def signature_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, s
     first = written(source.mapInArrow(_first_pass(n), "doc_id long, sig long, size long, block long, counts binary"), "ngram-sets")
     members = first.where("sig is not null").select("doc_id", "sig", "size").distinct()
     blocks = first.where("block is not null").select("block", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(_sum_blocks, "block long, counts binary").collect()
-    sketch = np.zeros(1 << SKETCH_BITS, np.int32)
+    sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in blocks:  # 64 rows at most
-        sketch[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.int32)
+        sketch[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.uint8)
     sketch = sc.broadcast(sketch.tobytes())
 
-    prefix = source.mapInArrow(_second_pass(n, threshold, sketch), "gram long, sig long, size long")
-    prefix = prefix.withColumn("size", F.col("size").cast("int"))
-    live = prefix.withColumn("many", F.count("*").over(Window.partitionBy("gram"))).where("many > 1").select("gram", "sig", F.col("size").cast("long").alias("size"))
-    cells = live.mapInArrow(_cells(threshold, small_cell), "a long, b long, star long, size_a long, size_b long, leader long")
-    counted = cells.groupBy("a", "b", "star").agg(F.count("*").alias("common"), F.min("leader").alias("leader"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
-    # all of the overlap past the earlier of the two prefix ends lies in that set's rest
+    prefix = source.mapInArrow(_second_pass(n, threshold, sketch), "gram long, sig long, size int, pos int")
+    live = prefix.withColumn("many", F.count("*").over(Window.partitionBy("gram"))).where("many > 1").select("gram", "sig", "size", "pos")
+    cells = live.mapInArrow(_cells(threshold, small_cell), "a long, b long, star long, size_a int, size_b int, pos_a int, pos_b int, leader long")
+    counted = cells.groupBy("a", "b", "star").agg(F.count("*").alias("common"), *(F.max(c).alias(c) for c in ("size_a", "size_b", "pos_a", "pos_b")), F.min("leader").alias("leader"))
+    # All of the overlap past the last common n-gram of both prefixes lies behind its places, and past the earlier of the prefix ends.
+    behind = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) - 1
     rest = F.greatest(*(F.ceil(F.col(s) * F.lit(threshold) - 1e-9) - 1 for s in ("size_a", "size_b")))
     needed = F.greatest(F.lit(1), F.ceil((F.col("size_a") + F.col("size_b")) * F.lit(threshold / (1 + threshold)) - 1e-9))
-    possible = counted.where((F.col("a") == F.col("b")) | (F.col("common") + rest >= needed))
+    possible = counted.where((F.col("a") == F.col("b")) | (F.col("common") + F.least(behind, rest) >= needed))
     places = written(possible.select(F.explode(F.array("a", "b")).alias("sig"), F.col("leader").alias("block")).distinct(), "ngram-places")
 
     keepers = members.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     wanted = written(keepers.join(places.select("sig").distinct(), "sig", "left_semi"), "ngram-live")
-    bloom, bits = _bloom((r.doc_id for r in wanted.select("doc_id").toLocalIterator()), wanted.count())
-    sets = source.mapInArrow(_third_pass(n, sc.broadcast(bloom), bits), "doc_id long, sig long, grams binary").join(wanted, ["doc_id", "sig"], "left_semi")
+    among = may_be_among(wanted.select("doc_id"))
+    sets = source.where(among("doc_id")).mapInArrow(_third_pass(n), "doc_id long, sig long, grams binary").join(wanted.hint("merge"), ["doc_id", "sig"], "left_semi")
     met = places.join(sets.select("sig", "grams"), "sig").repartition("block").sortWithinPartitions("block", "sig")
     pairs = met.mapInArrow(_blocks(threshold, sketch), "a long, b long, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
     return members, written(pairs, "ngram-pairs")
