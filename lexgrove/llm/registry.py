@@ -6,7 +6,9 @@ from importlib import import_module
 
 MODULES = (
     "op1_repetition",
+    "op5_bpe",
     "op6_ngram_join",
+    "op7_token_binary",
     "op8_radix_dedup",
     "op10_mixing",
 )
