@@ -10,6 +10,7 @@ MODULES = (
     "op6_ngram_join",
     "op7_token_binary",
     "op8_radix_dedup",
+    "op9_suffix_tree_lm",
     "op10_mixing",
 )
 
