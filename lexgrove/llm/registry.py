@@ -6,6 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "op1_repetition",
+    "op3_pii",
     "op5_bpe",
     "op6_ngram_join",
     "op7_token_binary",
