@@ -6,7 +6,9 @@ from importlib import import_module
 
 MODULES = (
     "op1_repetition",
+    "op2_html",
     "op3_pii",
+    "op4_license_scan",
     "op5_bpe",
     "op6_ngram_join",
     "op7_token_binary",
