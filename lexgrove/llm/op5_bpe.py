@@ -22,6 +22,7 @@ than return other ids.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -83,17 +84,20 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array,
         if not batch.num_rows:
             continue
         data, off = B.buffers(batch.column(1))
-        pieces, many = [], []
-        for a, b in B.pieces(off, 1 << 22):
-            at, m = P.starts(data[off[a] : off[b]], off[a : b + 1] - off[a])
+        pieces, hashes, many = [], [], []
+        for a, b in B.pieces(off):
+            part = data[off[a] : off[b]]
+            at, m = P.starts(part, off[a : b + 1] - off[a])
+            hashes.append(B.hash_spans(part, at, np.r_[at[1:], len(part)][: len(at)]))
             pieces.append(at + off[a])
             many.append(m)
         at, many = np.concatenate(pieces), np.concatenate(many)
-        words, number = P.distinct(data, at, by_count=True) if len(at) else (pa.array([], pa.binary()), np.zeros(0, np.int64))
+        words, number = P.distinct(data, at, np.concatenate(hashes), by_count=True) if len(at) else (pa.array([], pa.binary()), np.zeros(0, np.int32))
         ids = batch.column(0)
-        seed = np.r_[np.frombuffer(np.ascontiguousarray(off).tobytes(), np.uint8), np.frombuffer(repr(ids.to_pylist()).encode(), np.uint8)]
-        both = B.hash_spans(np.r_[data, seed], np.array([0]), np.array([len(data) + len(seed)]))
-        yield int(both.view(np.int64)[0]), ids, data, off, words, number, many
+        name = hashlib.blake2b(data, digest_size=8)
+        name.update(np.ascontiguousarray(off))
+        name.update(repr(ids.to_pylist()).encode())
+        yield int.from_bytes(name.digest(), "little", signed=True), ids, data, off, words, number, many
 
 
 def _words(buckets: int):

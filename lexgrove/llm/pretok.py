@@ -86,10 +86,10 @@ def starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, np.searchsorted(at, offsets[1:]) - np.searchsorted(at, offsets[:-1])
 
 
-def distinct(data: np.ndarray, at: np.ndarray, by_count: bool = False) -> tuple[pa.Array, np.ndarray]:
+def distinct(data: np.ndarray, at: np.ndarray, hashes: np.ndarray | None = None, by_count: bool = False) -> tuple[pa.Array, np.ndarray]:
     """The distinct pre-tokens (binary), if asked the most frequent first, and the number of each place's."""
     ends = np.r_[at[1:], len(data)]
-    h = B.hash_spans(data, at, ends)
+    h = B.hash_spans(data, at, ends) if hashes is None else hashes
     number = pa.array(h).dictionary_encode().indices.to_numpy()
     count = np.bincount(number)
     some = np.empty(len(count), np.int64)
@@ -97,7 +97,7 @@ def distinct(data: np.ndarray, at: np.ndarray, by_count: bool = False) -> tuple[
     if by_count:
         order = np.argsort(-count, kind="stable")
         rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order))
+        rank[order] = np.arange(len(order), dtype=np.int32)
         number, some = rank[number], some[order]
     return take_spans(data, at[some], ends[some]), number
 
