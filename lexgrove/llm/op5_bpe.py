@@ -2,7 +2,7 @@
 
 Encoding:
 
-1. Each Arrow batch of documents (a *chunk*) is exploded into pre-tokens with
+1. Each run of documents of a few megabytes (a *chunk*) is exploded into pre-tokens with
    their positions.  Positions are held as numbers of the chunk's distinct
    words, which stand for the (word, position) rows without repeating a word.
 2. The chunks' distinct words are shuffled by the word's hash; where equal words
@@ -35,6 +35,8 @@ from . import bytesops as B
 from . import pretok as P
 from .common import by_key, table
 
+#: Bytes of text in a chunk; one document may be longer.
+CHUNK = 8 << 20
 _NAMES = ["key", "chunk", "kind", "a", "b", "c"]
 _PACKED = "key long, chunk long, kind int, a binary, b binary, c binary"
 
@@ -81,23 +83,23 @@ def _from_varint(b: np.ndarray) -> np.ndarray:
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
     """(name, doc ids, bytes, offsets, distinct words, numbers of all positions, positions of each row)."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        data, off = B.buffers(batch.column(1))
-        pieces, hashes, many = [], [], []
-        for a, b in B.pieces(off):
-            part = data[off[a] : off[b]]
-            at, m = P.starts(part, off[a : b + 1] - off[a])
-            hashes.append(B.hash_spans(part, at, np.r_[at[1:], len(part)][: len(at)]))
-            pieces.append(at + off[a])
-            many.append(m)
-        at, many = np.concatenate(pieces), np.concatenate(many)
-        words, number = P.distinct(data, at, np.concatenate(hashes), by_count=True) if len(at) else (pa.array([], pa.binary()), np.zeros(0, np.int32))
-        ids = batch.column(0)
-        name = hashlib.blake2b(data, digest_size=8)
-        name.update(np.ascontiguousarray(off))
-        name.update(repr(ids.to_pylist()).encode())
-        yield int.from_bytes(name.digest(), "little", signed=True), ids, data, off, words, number, many
+        whole, offsets = B.buffers(batch.column(1))
+        for lo, hi in B.pieces(offsets, CHUNK):
+            data, off = whole[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            pieces, hashes, many = [], [], []
+            for a, b in B.pieces(off):
+                part = data[off[a] : off[b]]
+                at, m = P.starts(part, off[a : b + 1] - off[a])
+                hashes.append(B.hash_spans(part, at, np.r_[at[1:], len(part)][: len(at)]))
+                pieces.append(at + off[a])
+                many.append(m)
+            at, many = np.concatenate(pieces), np.concatenate(many)
+            words, number = P.distinct(data, at, np.concatenate(hashes), by_count=True) if len(at) else (pa.array([], pa.binary()), np.zeros(0, np.int32))
+            ids = batch.column(0).slice(lo, hi - lo)
+            name = hashlib.blake2b(data, digest_size=8)
+            name.update(np.ascontiguousarray(off))
+            name.update(repr(ids.to_pylist()).encode())
+            yield int.from_bytes(name.digest(), "little", signed=True), ids, data, off, words, number, many
 
 
 def _words(buckets: int):
