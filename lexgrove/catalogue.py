@@ -271,7 +271,7 @@ def _ranked(name: str, q: Node, where: str, score: str, config: search.Config =
         return search.top(rows, limit, offset).withColumnRenamed("_score", "score")
 
     QUERIES[name] = run
-    ORACLE[name] = f"WITH {_MATCH} SELECT doc_id, round({score}, 6) AS score FROM w WHERE {where} ORDER BY score DESC, doc_id LIMIT {limit} OFFSET {offset}"
+    ORACLE[name] = f"WITH {_MATCH} SELECT doc_id, round(CAST({score} AS DOUBLE), 6) AS score FROM w WHERE {where} ORDER BY score DESC, doc_id LIMIT {limit} OFFSET {offset}"
 
 
 _ranked("bm25_term", Term("text", "thing"), _has("thing"), _bm25_sql("thing"))
