@@ -31,7 +31,7 @@ def _power(base: int, n: int) -> np.ndarray:
         out = np.full(size, base, np.uint64)
         out[0] = 1
         have = np.multiply.accumulate(out)
-        if size <= 1 << 22:
+        if size <= 1 << 21:  # those for longer texts aren't kept
             _powers[base] = have
     return have[: n + 1]
 

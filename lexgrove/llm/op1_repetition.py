@@ -14,12 +14,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import table
+from .common import frugal, give_back, table
 
 #: Words of the shortest repeat that counts; most covered share of the words; most words of a repeat.
 LEAST, MOST_COVERED, MOST_REPEAT = 6, 0.85, 30
@@ -145,7 +146,7 @@ def scores(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
     if least < 1:
         raise ValueError("least must be 1 or more")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(_run(least), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(frugal(_run(least)), SCHEMA)
 
 
 def _passes(most_covered: float, most_repeat: int) -> F.Column:
@@ -159,16 +160,16 @@ def keep_rows(docs: DataFrame, least: int = LEAST, most_covered: float = MOST_CO
     """
 
     @F.pandas_udf("boolean")
-    def good(text):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        data, off = B.buffers(pa.array(text, pa.large_string(), from_pandas=True))
-        out = np.ones(len(text), bool)
-        for a, b in B.pieces(off):
-            h, _, _, row = B.words(data[off[a] : off[b]], off[a : b + 1] - off[a])
-            n, covered, longest = measure(h, row, b - a, least)
-            out[a:b] = (covered / np.maximum(n, 1) <= most_covered) & (longest <= most_repeat)
-        return pd.Series(out)
+    def good(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in texts:
+            data, off = B.buffers(pa.array(text, pa.large_string(), from_pandas=True))
+            out = np.ones(len(text), bool)
+            for a, b in B.pieces(off):
+                h, _, _, row = B.words(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                n, covered, longest = measure(h, row, b - a, least)
+                out[a:b] = (covered / np.maximum(n, 1) <= most_covered) & (longest <= most_repeat)
+            yield pd.Series(out)
+        give_back()
 
     return docs.where(good(F.col("text")))
 

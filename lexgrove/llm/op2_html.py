@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import frugal, table
 
 #: Characters of a short and of a long block; stop word densities of near good and good blocks; most linked share.
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKED = 70, 200, 0.08, 0.18, 0.2
@@ -165,7 +165,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 n, good, text = zip(*rows, strict=True)
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(n, pa.int32()), pa.array(good, pa.int32()), pa.array(text, pa.string())], ["page_id", "url", "n_blocks", "n_good", "text"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, SCHEMA)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(frugal(run), SCHEMA)
 
 
 def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import table
+from .common import frugal, table
 from .licenses import TEMPLATES
 
 LEAST = 0.9
@@ -164,7 +164,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float
                 types = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "license", "coverage", "anchors", "begin_word", "end_word"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(frugal(run), SCHEMA)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from . import pretok as P
-from .common import by_key, table
+from .common import by_key, frugal, table
 
 #: Bytes of text in a chunk; one document may be longer.
 CHUNK = 8 << 20
@@ -219,10 +219,10 @@ def encode(docs: DataFrame, ranks: str = P.RANKS, buckets: int | None = None) ->
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    words = source.mapInArrow(_words(buckets), _PACKED)
-    ids = words.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(_encode(ranks), _PACKED)
-    packed = ids.unionByName(source.mapInArrow(_positions, _PACKED))
-    out = packed.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(_assemble(ranks), "doc_id long, token_ids array<int>, n_tokens long, n_bytes long, round_trip boolean")
+    words = source.mapInArrow(frugal(_words(buckets)), _PACKED)
+    ids = words.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(frugal(_encode(ranks)), _PACKED)
+    packed = ids.unionByName(source.mapInArrow(frugal(_positions), _PACKED))
+    out = packed.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(frugal(_assemble(ranks)), "doc_id long, token_ids array<int>, n_tokens long, n_bytes long, round_trip boolean")
     return out
 
 
@@ -254,7 +254,7 @@ def decode(encoded: DataFrame, ranks: str = P.RANKS) -> DataFrame:
                 texts = [None if not ok else back[p:q].decode("utf-8", "replace") for p, q, ok in zip(cut[:-1], cut[1:], col.is_valid().to_pylist(), strict=True)]
                 yield pa.record_batch([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("token_ids").cast("array<int>")).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("token_ids").cast("array<int>")).mapInArrow(frugal(run), "doc_id long, text string")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

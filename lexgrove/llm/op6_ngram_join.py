@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import by_key, may_be_among, table, written
+from .common import by_key, frugal, may_be_among, table, written
 
 N, THRESHOLD, SMALL_CELL = 3, 0.5, 64
 SKETCH_BITS, BLOCK = 23, 1 << 17
@@ -277,17 +277,17 @@ def signature_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, s
         raise ValueError("threshold must be in (0, 1]")
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    first = written(source.mapInArrow(_first_pass(n), "doc_id long, sig long, size long, block long, counts binary"), "ngram-sets")
+    first = written(source.mapInArrow(frugal(_first_pass(n)), "doc_id long, sig long, size long, block long, counts binary"), "ngram-sets")
     members = first.where("sig is not null").select("doc_id", "sig", "size").distinct()
-    blocks = first.where("block is not null").select("block", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(_sum_blocks, "block long, counts binary").collect()
+    blocks = first.where("block is not null").select("block", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(frugal(_sum_blocks), "block long, counts binary").collect()
     sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in blocks:  # 64 rows at most
         sketch[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.uint8)
     sketch = sc.broadcast(sketch.tobytes())
 
-    prefix = source.mapInArrow(_second_pass(n, threshold, sketch), "gram long, sig long, size int, pos int")
+    prefix = source.mapInArrow(frugal(_second_pass(n, threshold, sketch)), "gram long, sig long, size int, pos int")
     live = prefix.withColumn("many", F.count("*").over(Window.partitionBy("gram"))).where("many > 1").select("gram", "sig", "size", "pos")
-    cells = live.mapInArrow(_cells(threshold, small_cell), "a long, b long, star long, size_a int, size_b int, pos_a int, pos_b int, leader long")
+    cells = live.mapInArrow(frugal(_cells(threshold, small_cell)), "a long, b long, star long, size_a int, size_b int, pos_a int, pos_b int, leader long")
     counted = cells.groupBy("a", "b", "star").agg(F.count("*").alias("common"), *(F.max(c).alias(c) for c in ("size_a", "size_b", "pos_a", "pos_b")), F.min("leader").alias("leader"))
     # All of the overlap past the last common n-gram of both prefixes lies behind its places, and past the earlier of the prefix ends.
     behind = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) - 1
@@ -299,9 +299,9 @@ def signature_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, s
     keepers = members.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     wanted = written(keepers.join(places.select("sig").distinct(), "sig", "left_semi"), "ngram-live")
     among = may_be_among(wanted.select("doc_id"))
-    sets = source.where(among("doc_id")).mapInArrow(_third_pass(n), "doc_id long, sig long, grams binary").join(wanted.hint("merge"), ["doc_id", "sig"], "left_semi")
+    sets = source.where(among("doc_id")).mapInArrow(frugal(_third_pass(n)), "doc_id long, sig long, grams binary").join(wanted.hint("merge"), ["doc_id", "sig"], "left_semi")
     met = places.join(sets.select("sig", "grams"), "sig").repartition("block").sortWithinPartitions("block", "sig")
-    pairs = met.mapInArrow(_blocks(threshold, sketch), "a long, b long, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+    pairs = met.mapInArrow(frugal(_blocks(threshold, sketch)), "a long, b long, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
     return members, written(pairs, "ngram-pairs")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from . import pretok as P
-from .common import table
+from .common import frugal, table
 
 SAMPLE = 64
 #: A shard is closed once it has so many ids; a single document may be longer.
@@ -155,7 +155,7 @@ def shards(docs: DataFrame, ranks: str = P.RANKS, shard_tokens: int = SHARD_TOKE
     """
     if shard_tokens < 1:
         raise ValueError("a shard has one id at least")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(_shards(ranks, shard_tokens), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(frugal(_shards(ranks, shard_tokens)), SCHEMA)
 
 
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
