@@ -48,6 +48,8 @@ def repeats(h: np.ndarray, row: np.ndarray, least: int = LEAST) -> tuple[np.ndar
     fits = row[np.minimum(at + least - 1, m - 1)] == row[at]
     fits &= at + least <= m
     g, at = g[fits], at[fits]
+    if len(g) < 2:
+        return none, none
     key = B.mix(g ^ (row[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
