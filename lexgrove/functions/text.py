@@ -33,6 +33,8 @@ class Filter:
 
     column: Callable[[Tokens], Tokens]
     plain: Callable[[list[str]], list[str]]
+    #: whether the words that are left are parts of the lower-cased text
+    verbatim: bool = True
 
     def __call__(self, tokens: Tokens) -> Tokens:
         return self.column(tokens)
@@ -129,7 +131,7 @@ def _stem_plain(found: list[str]) -> list[str]:
     return [stem(w) for w in found]
 
 
-stemmer = Filter(_stem_tokens, _stem_plain)
+stemmer = Filter(_stem_tokens, _stem_plain, verbatim=False)
 
 
 def ngrams_of(word: Column, least: int, most: int) -> Column:
@@ -177,6 +179,10 @@ class Analyzer:
         """Tokens of text and position alone."""
         return self._filtered(self.tokenizer.placed(text))
 
+    @property
+    def verbatim(self) -> bool:
+        return all(f.verbatim for f in self.filters)
+
     def plain(self, text: str) -> list[str]:
         """Terms of a query's own text, on the driver."""
         found = self.tokenizer.plain(text)

@@ -122,13 +122,20 @@ def phrase_in(analyzer: text.Analyzer, c: Column, terms: tuple[str, ...], slop:
     wanted = analyzer.plain(" ".join(terms))
     if not wanted:
         return F.lit(False)
+    # a text that lacks one of the words, even as part of another, isn't analyzed
+    possible = _all([F.contains(F.lower(c), F.lit(w)) for w in dict.fromkeys(wanted)]) if analyzer.verbatim else F.lit(True)
     tokens = analyzer.placed(c)
-    if slop == 0:
-        # places of the first word that the others follow
-        found = F.transform(tokens, lambda t: t["text"])
-        near = F.filter(F.transform(found, lambda w, i: F.when(w == wanted[0], i + 1)), lambda i: i.isNotNull())
-        whole = F.array(*[F.lit(w) for w in wanted])
-        return F.arrays_overlap(found, F.array(F.lit(wanted[0]))) & F.exists(near, lambda i: F.slice(found, i, len(wanted)) == whole)
+    if slop == 0 and analyzer.positions == "closed":
+        # one pass: how many of the words the last tokens agree with, for each length at once
+        n = len(wanted)
+        start = F.struct(*[F.lit(k == 0).alias(f"m{k}") for k in range(n + 1)])
+
+        def step(acc: Column, w: Column) -> Column:
+            going = [F.lit(True), *[acc[f"m{k}"] & (w == F.lit(wanted[k])) for k in range(n)]]
+            going[n] = acc[f"m{n}"] | going[n]
+            return F.struct(*[g.alias(f"m{k}") for k, g in enumerate(going)])
+
+        return possible & F.aggregate(analyzer.terms(c), start, step)[f"m{n}"]
 
     def places(term: str) -> Column:
         return F.transform(F.filter(tokens, lambda t: t["text"] == term), lambda t: t["position"])
@@ -140,7 +147,7 @@ def phrase_in(analyzer: text.Analyzer, c: Column, terms: tuple[str, ...], slop:
         near = F.filter(ps, lambda p: (p >= cur + 1) & (p <= cur + slop + 1))
         return F.when(cur < 0, F.lit(-1)).otherwise(F.coalesce(F.get(near, F.lit(0)), F.lit(-1)))
 
-    return F.exists(first, lambda p: F.aggregate(rest, p, follow) >= 0)
+    return possible & F.exists(first, lambda p: F.aggregate(rest, p, follow) >= 0)
 
 
 def _range(q: Range, fields: Fields) -> Column:
