@@ -14,13 +14,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import frugal, give_back, table
+from .common import frugal, table
 
 #: Words of the shortest repeat that counts; most covered share of the words; most words of a repeat.
 LEAST, MOST_COVERED, MOST_REPEAT = 6, 0.85, 30
@@ -161,19 +160,19 @@ def keep_rows(docs: DataFrame, least: int = LEAST, most_covered: float = MOST_CO
     A null text has no repetition and passes.
     """
 
-    @F.pandas_udf("boolean")
-    def good(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for text in texts:
-            data, off = B.buffers(pa.array(text, pa.large_string(), from_pandas=True))
-            out = np.ones(len(text), bool)
-            for a, b in B.pieces(off):
-                h, _, _, row = B.words(data[off[a] : off[b]], off[a : b + 1] - off[a])
-                n, covered, longest = measure(h, row, b - a, least)
-                out[a:b] = (covered / np.maximum(n, 1) <= most_covered) & (longest <= most_repeat)
-            yield pd.Series(out)
-        give_back()
 
-    return docs.where(good(F.col("text")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = B.buffers(batch.column(batch.schema.get_field_index("text")))
+            for a, b in B.pieces(off, 1 << 22):
+                good = np.ones(b - a, bool)
+                for x, y in B.pieces(off[a : b + 1]):
+                    h, _, _, row = B.words(data[off[a + x] : off[a + y]], off[a + x : a + y + 1] - off[a + x])
+                    n, covered, longest = measure(h, row, y - x, least)
+                    good[x:y] = (covered / np.maximum(n, 1) <= most_covered) & (longest <= most_repeat)
+                yield batch.slice(a, b - a).filter(pa.array(good))
+
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op1_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
