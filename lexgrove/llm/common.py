@@ -31,16 +31,45 @@ def shared_dir(spark: SparkSession) -> str:
     return have
 
 
+_paths: dict[int, tuple] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
-    Lost executors then cost the reader nothing but a read.  The folder is
-    removed when the session ends (``forget``).
+    Lost executors then cost the reader nothing but a read.  ``discard`` removes
+    the table once nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes tables that ``written`` made; DataFrames that would still read them must have been written themselves."""
+    for t in tables:
+        _, path = _paths.pop(id(t), (None, None))
+        if path:
+            at = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id isn't in ``ids`` (one long column), those without a doc_id too.
+
+    Most texts stay where they are: only rows that a Bloom filter can't clear are
+    shuffled to be joined.
+    """
+    from pyspark.sql import functions as F
+
+    name = ids.columns[0]
+    key = docs["doc_id"].cast("long")
+    among = may_be_among(ids)
+    clear = docs.where(~among(key))
+    return clear.unionByName(docs.where(among(key)).join(ids.select(F.col(name).alias("__id")).hint("merge"), key == F.col("__id"), "left_anti"))
 
 
 def by_key(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

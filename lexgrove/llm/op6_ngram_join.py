@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import by_key, frugal, may_be_among, table, written
+from .common import by_key, discard, frugal, may_be_among, table, without, written
 
 N, THRESHOLD, SMALL_CELL = 3, 0.5, 64
 SKETCH_BITS, BLOCK = 23, 1 << 17
@@ -278,12 +278,13 @@ def signature_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, s
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     first = written(source.mapInArrow(frugal(_first_pass(n)), "doc_id long, sig long, size long, block long, counts binary"), "ngram-sets")
-    members = first.where("sig is not null").select("doc_id", "sig", "size").distinct()
+    members = written(first.where("sig is not null").select("doc_id", "sig", "size").distinct(), "ngram-members")
     blocks = first.where("block is not null").select("block", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(frugal(_sum_blocks), "block long, counts binary").collect()
     sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in blocks:  # 64 rows at most
         sketch[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.uint8)
     sketch = sc.broadcast(sketch.tobytes())
+    discard(first)
 
     prefix = source.mapInArrow(frugal(_second_pass(n, threshold, sketch)), "gram long, sig long, size int, pos int")
     live = prefix.withColumn("many", F.count("*").over(Window.partitionBy("gram"))).where("many > 1").select("gram", "sig", "size", "pos")
@@ -302,7 +303,9 @@ def signature_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, s
     sets = source.where(among("doc_id")).mapInArrow(frugal(_third_pass(n)), "doc_id long, sig long, grams binary").join(wanted.hint("merge"), ["doc_id", "sig"], "left_semi")
     met = places.join(sets.select("sig", "grams"), "sig").repartition("block").sortWithinPartitions("block", "sig")
     pairs = met.mapInArrow(frugal(_blocks(threshold, sketch)), "a long, b long, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
-    return members, written(pairs, "ngram-pairs")
+    pairs = written(pairs, "ngram-pairs")
+    discard(places, wanted)
+    return members, pairs
 
 
 def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, small_cell: int = SMALL_CELL) -> DataFrame:
@@ -335,22 +338,25 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataF
     members, pairs = signature_pairs(docs, threshold, n)
     edges = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a")))
     least = members.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("many"))
-    label = written(edges.select(F.col("a").alias("sig")).distinct().withColumn("label", F.col("sig")), "near-label")
+    label = label_table = written(edges.select(F.col("a").alias("sig")).distinct().withColumn("label", F.col("sig")), "near-label")
     edges = written(edges, "near-edges")
     while True:
         around = edges.join(label, edges.b == label.sig).groupBy("a").agg(F.min("label").alias("near"))
         step = label.join(around, label.sig == around.a).select("sig", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         step = written(step, "near-step")
         hop = step.select(F.col("sig").alias("label"), F.col("label").alias("next"))
-        new = written(step.join(hop, "label", "left").select("sig", "old", F.coalesce(F.least("next", "label"), "label").alias("label")), "near-label")
+        before = label_table
+        new = label_table = written(step.join(hop, "label", "left").select("sig", "old", F.coalesce(F.least("next", "label"), "label").alias("label")), "near-label")
         label = new.select("sig", "label")
+        discard(before, step)
         if new.where("label <> old").isEmpty():
             break
     grouped = least.join(label, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     grouped = members.select("doc_id", "sig").join(grouped.select("sig", "label"), "sig")
     heads = grouped.groupBy("label").agg(F.min("doc_id").alias("head"), F.count("*").alias("many")).where("many > 1")
-    gone = grouped.join(heads, "label").where("doc_id <> head").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = written(grouped.join(heads, "label").where("doc_id <> head").select("doc_id").distinct(), "near-gone")
+    discard(members, pairs, edges, label_table)
+    return without(docs, gone)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

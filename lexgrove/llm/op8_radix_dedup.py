@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import may_be_among, table, written
+from .common import discard, may_be_among, table, without, written
 
 FIRST, GROW = 64, 8
 
@@ -31,12 +31,13 @@ def copies(docs: DataFrame, first: int = FIRST, grow: int = GROW) -> DataFrame:
         raise ValueError("digits have one byte at least")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "utf-8").alias("bytes")).where("doc_id is not null and text is not null")
     rows = source.select("doc_id", F.lit(-1).cast("long").alias("grp"), F.substring("bytes", 1, first).alias("digit"), (F.octet_length("bytes") < first).alias("over"))
-    at, width, ended, rest = first + 1, first * grow, [], None
+    at, width, ended, levels, rest = first + 1, first * grow, [], [], None
     keys = ["grp", "digit", "over"]
     while True:
         # equal digits are combined before the shuffle; only groups of several go back to their rows
         several = rows.groupBy(*keys).agg(F.min("doc_id").alias("next"), F.count("*").alias("many")).where("many > 1").drop("many")
         rows = written(rows.join(several.hint("merge"), keys).select("doc_id", F.col("next").alias("grp"), "over"), f"radix-{len(ended)}")
+        levels.append(rows)
         ended.append(rows.where("over").select("doc_id", "grp"))
         going = rows.where("not over").select("doc_id", "grp").distinct()
         if going.isEmpty():
@@ -51,7 +52,9 @@ def copies(docs: DataFrame, first: int = FIRST, grow: int = GROW) -> DataFrame:
     for x in ended[1:]:
         out = out.unionByName(x)
     out = out.withColumn("nth", F.row_number().over(Window.partitionBy("grp").orderBy("doc_id")))
-    return out.where("nth > 1").select("doc_id", F.col("grp").alias("keep_doc_id"))
+    out = written(out.where("nth > 1").select("doc_id", F.col("grp").alias("keep_doc_id")), "radix-copies")
+    discard(rest, *levels)
+    return out
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
@@ -60,12 +63,13 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     Of repeated rows of one doc_id one stays, the least by all columns.  Rows with
     a null text or doc_id all stay.
     """
-    found = written(copies(docs), "radix-copies")
-    gone = found.where("doc_id <> keep_doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    again = found.where("doc_id = keep_doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    once = kept.join(again, kept["doc_id"] == again["__gone"], "left_anti")
-    many = kept.join(again, kept["doc_id"] == again["__gone"], "left_semi")
+    found = copies(docs)
+    gone = found.where("doc_id <> keep_doc_id").select("doc_id").distinct()
+    again = written(found.where("doc_id = keep_doc_id").select("doc_id").distinct(), "radix-again")
+    kept = without(docs, gone)
+    if again.isEmpty():
+        return kept
+    once, many = without(kept, again), kept.join(again.select(F.col("doc_id").alias("__id")), kept["doc_id"] == F.col("__id"), "left_semi")
     rank = Window.partitionBy("doc_id").orderBy(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns])
     return once.unionByName(many.withColumn("__nth", F.row_number().over(rank)).where("__nth = 1").drop("__nth"))
 
