@@ -75,7 +75,7 @@ _matching("wildcard_qmark", Wildcard("text", "t?on o?"), "regexp_matches(text, '
 _matching("wildcard_html", Wildcard("html", "<h1>*the*</h1>"), "regexp_matches(html, '<h1>.*the.*</h1>')", "pages", "page_id")
 _near = "len(list_filter({0}, lambda w: w <> '' AND levenshtein(w, '{1}') <= {2})) > 0"
 _bare = "list_transform(string_split(lower(p_name), ' '), lambda w: regexp_replace(w, '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g'))"
-_matching("fuzzy_1", Fuzzy("p_name", "bleu", 1), _near.format(_bare, "bleu", 1), "part", "p_partkey")
+_matching("fuzzy_1", Fuzzy("p_name", "blu", 1), _near.format(_bare, "blu", 1), "part", "p_partkey")
 _matching("fuzzy_2", Fuzzy("p_name", "anvl", 2), _near.format(_bare, "anvl", 2), "part", "p_partkey")
 _matching("match_all", MatchAll(), "true")
 
@@ -223,9 +223,9 @@ def _expand_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand.fuzzy(_terms(spark, sf_dir, "part", "p_name"), "blake").withColumn("distance", F.col("distance").cast("long"))
 
 
-@register("expand_fuzzy_swaps")
+@register("expand_fuzzy_swaps", f"WITH d AS (SELECT unnest({_TOKENS('p_name')}) AS term FROM part) SELECT term, count(*) AS n, CAST(damerau_levenshtein(term, 'bleu') AS BIGINT) AS distance FROM d WHERE damerau_levenshtein(term, 'bleu') <= 1 GROUP BY term")
 def _expand_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expand.fuzzy(_terms(spark, sf_dir, "part", "p_name"), "balck", 1, transpositions=True)
+    return expand.fuzzy(_terms(spark, sf_dir, "part", "p_name"), "bleu", 1, transpositions=True).withColumn("distance", F.col("distance").cast("long"))
 
 
 @register("stem_english")
