@@ -4,13 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -101,19 +98,6 @@ def by_key(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-@contextmanager
-def conf(spark: SparkSession, **values: str):
-    """Session settings for the time of a block."""
-    old = {k: spark.conf.get(k, None) for k in values}
-    try:
-        for k, v in values.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-
-
 BLOOM_MOST_BITS, BLOOM_BLOCK = 1 << 29, 1 << 19
 
 
