@@ -17,14 +17,18 @@ POSTINGS = "field string, term string, doc_id long, tf long, positions array<int
 
 
 def postings(docs: DataFrame, fields: Iterable[str], analyzers: dict[str, Analyzer] | None = None, default: Analyzer = SIMPLE, id_column: str = "doc_id") -> DataFrame:
-    """Postings of the given text fields; positions rise within a row."""
+    """Postings of the given text fields; positions rise within a row.
+
+    Frequencies are counted apart from positions, so a reader of frequencies alone
+    has no lists built: Catalyst drops the unused aggregate.
+    """
     parts = []
     for name in sorted(fields):
         analyzer = (analyzers or {}).get(name, default)
         tokens = docs.select(F.col(id_column).cast("long").alias("doc_id"), analyzer.placed(F.col(f"`{name}`")).alias("tokens")).where(F.size("tokens") > 0)
         tokens = tokens.select("doc_id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
-        rows = tokens.groupBy("doc_id", "n", F.col("t.text").alias("term")).agg(F.sort_array(F.collect_list("t.position")).alias("positions"))
-        parts.append(rows.select(F.lit(name).alias("field"), "term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions", (1.0 / F.sqrt("n")).alias("field_norm")))
+        rows = tokens.groupBy("doc_id", "n", F.col("t.text").alias("term")).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("t.position")).alias("positions"))
+        parts.append(rows.select(F.lit(name).alias("field"), "term", "doc_id", "tf", "positions", (1.0 / F.sqrt("n")).alias("field_norm")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
