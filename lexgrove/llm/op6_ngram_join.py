@@ -159,12 +159,12 @@ def _cells(t: float, small: int):
 
 
 class _Trie:
-    """Path-compressed trie of sets in the global order; an edge holds positions of the order.
+    """Path-compressed trie of sets in the global order.
 
-    ``walk`` gives each stored set whose overlap with the query reaches the need.
+    An edge is a part, from ``start`` to ``stop``, of one of the sets; nothing is copied.
     """
 
-    __slots__ = ("edge", "below", "ends", "longest", "shortest")
+    __slots__ = ("items", "start", "stop", "below", "ends", "longest", "shortest")
 
     def __init__(self, sets: list[tuple[int, tuple]], depth: int = 0, lo: int = 0, hi: int | None = None):
         """sets: sorted (tuple, number) in [lo, hi) that agree in the first ``depth`` items."""
@@ -177,7 +177,7 @@ class _Trie:
         else:
             while to < top and x[to] == y[to]:
                 to += 1
-        self.edge = x[depth:to]
+        self.items, self.start, self.stop = x, depth, to
         self.ends = []
         while lo < hi and len(sets[lo][0]) == to:
             self.ends.append(sets[lo][1])
@@ -198,27 +198,28 @@ def _walk(root: _Trie, query: tuple, t: float) -> list[tuple[int, int]]:
     from bisect import bisect_right
 
     own, n, found = set(query), len(query), []
-    stack = [(root, 0, 0)]
+    stack = [(root, 0)]
     while stack:
-        node, overlap, depth = stack.pop()
+        node, overlap = stack.pop()
         if n < t * node.shortest - 1e-9 or node.longest < t * n - 1e-9:
             continue
-        if node.edge:
-            overlap += len(own.intersection(node.edge))
-        depth += len(node.edge)
+        if node.stop > node.start:
+            overlap += len(own.intersection(node.items[node.start : node.stop]))
+        depth = node.stop
         if node.ends and overlap >= _needed(t, n, depth):
             found += [(k, overlap) for k in node.ends]
         if node.below:
-            rest = n - bisect_right(query, node.edge[-1]) if node.edge else n
+            rest = n - bisect_right(query, node.items[depth - 1]) if depth else n
             for b in node.below:
                 if overlap + min(rest, b.longest - depth) >= _needed(t, n, max(b.shortest, math.ceil(t * n - 1e-9))):
-                    stack.append((b, overlap, depth))
+                    stack.append((b, overlap))
     return found
 
 
 def trie_join(sets: list[np.ndarray], order: np.ndarray, t: float) -> list[tuple[int, int, int]]:
     """(i, j, overlap) with i < j for all pairs of Jaccard t or more; order: the n-grams' places in the global order."""
-    tuples = sorted((tuple(np.sort(x).tolist()), k) for k, x in enumerate(order))
+    numbers = list(range(1 + max((int(x.max()) for x in order if len(x)), default=0)))  # one object a place, shared by all sets
+    tuples = sorted((tuple(map(numbers.__getitem__, np.sort(x))), k) for k, x in enumerate(order))
     root = _Trie(tuples)
     return [(k, j, o) for q, k in tuples for j, o in _walk(root, q, t) if k < j]
 
