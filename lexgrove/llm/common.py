@@ -157,13 +157,17 @@ def may_be_among(ids: DataFrame):
         import pandas as pd
 
         have = np.frombuffer(shared.value, np.uint8)
-        ok = x.notna().to_numpy()
-        v = x.fillna(0).to_numpy().astype(np.int64)
-        for p in _bloom_places(v, bits):
+        ok = np.ones(len(x), bool)
+        for p in _bloom_places(x.to_numpy().astype(np.int64), bits):
             ok &= (have[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
         return pd.Series(ok)
 
-    return among
+    def test(column):  # noqa: ANN001, ANN202
+        column = F.col(column) if isinstance(column, str) else column
+        # nulls are taken out first: pandas would make floats of the other numbers
+        return column.isNotNull() & among(F.coalesce(column, F.lit(0)).cast("long"))
+
+    return test
 
 
 def frugal(f):

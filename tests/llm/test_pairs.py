@@ -120,3 +120,13 @@ def test_copies_of_odd_rows(odd, empty):
     assert kept.columns == odd.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 5), (False, 6), (False, 7), (False, 8), (False, 9), (True, 0), (True, 0)]
     assert R.copies(empty).count() == 0 and R.drop_copies(empty).count() == 0
+
+
+def test_large_ids_beside_nulls(spark, frame):
+    from lexgrove.llm.common import without
+
+    ids = [2**62 + k for k in range(50)]
+    docs = frame([(i, "x") for i in ids] + [(None, "y")])
+    gone = spark.createDataFrame([(i,) for i in ids[::2]], "doc_id long")
+    got = [r.doc_id for r in without(docs, gone).collect()]
+    assert sorted(i for i in got if i is not None) == ids[1::2] and got.count(None) == 1
