@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays, text
-from .operators import expand, index, scoring, search
+from .operators import expand, index, layout, scoring, search
 from .plans import scan
 from .plans.ast import Bool, Fuzzy, MatchAll, Node, Phrase, Prefix, Range, Term, Wildcard
 from .plans.parser import Parser
@@ -102,7 +102,7 @@ _matching("parsed_extended", Parser(default_field="text", syntax="extended").par
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return layout.spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
