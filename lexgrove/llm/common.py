@@ -111,13 +111,12 @@ def _bloom_places(x, bits: int):
     return [((h + np.uint64(k) * g) & np.uint64(bits - 1)).astype(np.int64) for k in range(4)]
 
 
-def may_be_among(ids: DataFrame):
-    """A Column function that is true for every value of ``ids`` (one long column) and false for most others.
+def bloom(ids: DataFrame):
+    """(broadcast bitmap, its bits) of a Bloom filter of ``ids`` (one long column).
 
-    It is a Bloom filter of twelve to 24 bits a value, but of 64 MB at most, beyond
-    which it only lets more rows pass; the caller joins afterwards.  Built by the
-    executors from partial bitmaps; the driver gets the final blocks.  It is there
-    to keep texts out of a shuffle that only some of them need.
+    It has twelve to 24 bits a value, but 64 MB at most, beyond which it only lets
+    more rows pass.  Built by the executors from partial bitmaps; the driver gets
+    the final blocks.
     """
     import zlib
 
@@ -150,17 +149,37 @@ def may_be_among(ids: DataFrame):
     field = np.zeros(bits // 8, np.uint8)
     for r in ids.mapInArrow(part, schema).repartition("block").sortWithinPartitions("block").mapInArrow(union, schema).collect():
         field[r.block : r.block + BLOOM_BLOCK // 8] = np.frombuffer(r.field, np.uint8)
-    shared = ids.sparkSession.sparkContext.broadcast(field.tobytes())
+    return ids.sparkSession.sparkContext.broadcast(field.tobytes()), bits
+
+
+def in_bloom(filter_, x):
+    """Which of an array's 64-bit numbers may be among the filter's."""
+    import numpy as np
+
+    shared, bits = filter_
+    have = np.frombuffer(shared.value, np.uint8)
+    ok = np.ones(len(x), bool)
+    for p in _bloom_places(x, bits):
+        ok &= (have[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
+    return ok
+
+
+def may_be_among(ids: DataFrame):
+    """A Column function that is true for every value of ``ids`` (one long column) and false for most others.
+
+    It is a Bloom filter, so the caller joins afterwards.  It is there to keep texts
+    out of a shuffle that only some of them need.
+    """
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    filter_ = bloom(ids)
 
     @F.pandas_udf("boolean")
     def among(x):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        have = np.frombuffer(shared.value, np.uint8)
-        ok = np.ones(len(x), bool)
-        for p in _bloom_places(x.to_numpy().astype(np.int64), bits):
-            ok &= (have[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
-        return pd.Series(ok)
+        return pd.Series(in_bloom(filter_, x.to_numpy().astype(np.int64)))
 
     def test(column):  # noqa: ANN001, ANN202
         column = F.col(column) if isinstance(column, str) else column
