@@ -5,8 +5,9 @@ the document are sorted into a suffix array by prefix doubling; all documents of
 an Arrow batch are sorted together.  The longest common prefixes of neighbours
 give, for each suffix, the longest repeated substring that starts there (the
 widest interval of the array that holds it with that prefix).  The union of these
-spans is the covered part.  A document is kept if the covered fraction and the
-longest repeat are within the limits.
+spans is the covered part.  Words in later occurrences of a run of words, the first
+left out, are there again.  A document is kept if the covered fraction, the share of
+words that are there again and the longest repeat are within the limits.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from .common import frugal, table
 
 #: Words of the shortest repeat that counts; most covered share of the words; most words of a repeat.
 LEAST, MOST_COVERED, MOST_REPEAT = 6, 0.85, 30
-SCHEMA = "doc_id long, n_words long, covered_fraction double, longest_repeat long"
+#: Words of the shortest run that counts as there again; most such share of the words.
+AGAIN, MOST_AGAIN = LEAST, 0.5
+SCHEMA = "doc_id long, n_words long, covered_fraction double, longest_repeat long, again_fraction double"
 
 
 def _ranks(*keys: np.ndarray) -> np.ndarray:
@@ -125,6 +128,22 @@ def measure(h: np.ndarray, row: np.ndarray, n_rows: int, least: int = LEAST) ->
     return n_words, covered, longest
 
 
+def repeated(h: np.ndarray, row: np.ndarray, n_rows: int, least: int = AGAIN) -> np.ndarray:
+    """Words of each row in runs of ``least`` words or more that the row had before."""
+    edge = np.zeros(len(h) + 1, np.int64)
+    if len(h) >= least:
+        g, at, of = B.ngrams(h, row, least)
+        to = at + least - 1
+        fits = (to < len(h)) & (row[np.minimum(to, len(h) - 1)] == of)
+        g, at, of = g[fits], at[fits], of[fits]
+        key = B.mix(g ^ (of.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort(key, kind="stable")  # the first occurrence stays first
+        later = at[order[1:][key[order][1:] == key[order][:-1]]]
+        np.add.at(edge, later, 1)
+        np.add.at(edge, later + least, -1)
+    return np.bincount(row[np.cumsum(edge[:-1]) > 0], minlength=n_rows)
+
+
 def _run(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,16 +151,17 @@ def _run(least: int):
             for a, b in B.pieces(off):
                 h, _, _, row = B.words(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 n, covered, longest = measure(h, row, b - a, least)
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(covered / np.maximum(n, 1)), pa.array(longest, pa.int64())], ["doc_id", "n_words", "covered_fraction", "longest_repeat"])
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(covered / np.maximum(n, 1)), pa.array(longest, pa.int64()), pa.array(repeated(h, row, b - a) / np.maximum(n, 1))], ["doc_id", "n_words", "covered_fraction", "longest_repeat", "again_fraction"])
 
     return run
 
 
 def scores(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, n_words, covered_fraction and longest_repeat of every row with a text.
+    """doc_id, n_words, covered_fraction, longest_repeat and again_fraction of every row with a text.
 
     A word is a run of letters, digits and non-ASCII characters, without case.
-    Empty texts, and texts without a repeat of ``least`` words, have 0 for both.
+    Empty texts, and texts without a repeat of ``least`` words, have 0 for the first two
+    measures; again_fraction counts runs of AGAIN words or more.
     Rows with a null text are left out; a null doc_id stays null.  Repeated rows
     give repeated results.  Only doc_id and text are read.
     """
@@ -150,11 +170,11 @@ def scores(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(frugal(_run(least)), SCHEMA)
 
 
-def _passes(most_covered: float, most_repeat: int) -> F.Column:
-    return (F.col("covered_fraction") <= most_covered) & (F.col("longest_repeat") <= most_repeat)
+def _passes(most_covered: float, most_repeat: int, most_again: float = MOST_AGAIN) -> F.Column:
+    return (F.col("covered_fraction") <= most_covered) & (F.col("longest_repeat") <= most_repeat) & (F.col("again_fraction") <= most_again)
 
 
-def keep_rows(docs: DataFrame, least: int = LEAST, most_covered: float = MOST_COVERED, most_repeat: int = MOST_REPEAT) -> DataFrame:
+def keep_rows(docs: DataFrame, least: int = LEAST, most_covered: float = MOST_COVERED, most_repeat: int = MOST_REPEAT, most_again: float = MOST_AGAIN) -> DataFrame:
     """The rows of ``docs``, with all their columns, that pass the limits; no shuffle.
 
     A null text has no repetition and passes.
@@ -169,7 +189,7 @@ def keep_rows(docs: DataFrame, least: int = LEAST, most_covered: float = MOST_CO
                 for x, y in B.pieces(off[a : b + 1]):
                     h, _, _, row = B.words(data[off[a + x] : off[a + y]], off[a + x : a + y + 1] - off[a + x])
                     n, covered, longest = measure(h, row, y - x, least)
-                    good[x:y] = (covered / np.maximum(n, 1) <= most_covered) & (longest <= most_repeat)
+                    good[x:y] = (covered / np.maximum(n, 1) <= most_covered) & (longest <= most_repeat) & (repeated(h, row, y - x) / np.maximum(n, 1) <= most_again)
                 yield batch.slice(a, b - a).filter(pa.array(good))
 
     return docs.mapInArrow(frugal(run), docs.schema)

@@ -49,6 +49,35 @@ def test_repetition_rows(odd, empty, frame):
     assert R.keep_rows(empty).count() == 0
 
 
+def again(text, least):
+    w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower())
+    seen, out = set(), set()
+    for i in range(len(w) - least + 1):
+        run = tuple(w[i : i + least])
+        if run in seen:
+            out |= set(range(i, i + least))
+        seen.add(run)
+    return len(out)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcd"), max_size=40).map(" ".join), min_size=1, max_size=5), st.sampled_from([1, 2, 3, 6]))
+def test_there_again(texts, least):
+    data, off = B.buffers(pa.array(texts))
+    h, _, _, row = B.words(data, off)
+    assert R.repeated(h, row, len(texts), least).tolist() == [again(t, least) for t in texts]
+
+
+def test_repetition_between_plain_sentences(frame):
+    """Words repeated over and over go, though sentences around them keep the covered share low; a sentence said twice stays."""
+    plain = " ".join(f"p{k}" for k in range(20))
+    runs = " ".join(" ".join([f"w{k}"] * 8) for k in range(10))
+    docs = frame([(1, f"{plain} {runs}"), (2, f"{plain} {' '.join(f'q{k}' for k in range(8))} {plain}")])
+    assert [r.doc_id for r in R.keep_rows(docs).collect()] == [2]
+    got = {r.doc_id: r for r in R.scores(docs).collect()}
+    assert got[1].covered_fraction <= R.MOST_COVERED and got[1].again_fraction == 0.7 and R.scores(docs).where(R._passes(R.MOST_COVERED, R.MOST_REPEAT)).count() == 1
+
+
 class Reader(HTMLParser):
     """Blocks by the standard library's parser."""
 
