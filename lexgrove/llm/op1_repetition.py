@@ -25,7 +25,7 @@ from .common import frugal, table
 #: Words of the shortest repeat that counts; most covered share of the words; most words of a repeat.
 LEAST, MOST_COVERED, MOST_REPEAT = 6, 0.85, 30
 #: Words of the shortest run that counts as there again; most such share of the words.
-AGAIN, MOST_AGAIN = LEAST, 0.5
+AGAIN, MOST_AGAIN = 2, 0.5
 SCHEMA = "doc_id long, n_words long, covered_fraction double, longest_repeat long, again_fraction double"
 
 

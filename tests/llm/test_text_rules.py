@@ -78,6 +78,18 @@ def test_repetition_between_plain_sentences(frame):
     assert got[1].covered_fraction <= R.MOST_COVERED and got[1].again_fraction == 0.7 and R.scores(docs).where(R._passes(R.MOST_COVERED, R.MOST_REPEAT)).count() == 1
 
 
+def test_short_repeats_count(frame, spark):
+    """Words five times in a row, and short lines scattered through a text, give no repeat of six words."""
+    five = " ".join(" ".join([f"w{k}"] * 5) for k in range(10))
+    lines = "\n".join(f"buy now {k}\nbest price" for k in range(40))
+    docs = frame([(1, five), (2, lines), (3, " ".join(f"p{k}" for k in range(60)))])
+    assert [r.doc_id for r in R.keep_rows(docs).collect()] == [3]
+    got = {r.doc_id: (r.covered_fraction, r.longest_repeat) for r in R.scores(docs).collect()}
+    assert got[1] == got[2] == (0, 0)
+    whole = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id in (1847, 7628, 7042, 4902, 6523, 7127, 8201, 8241, 9175, 9349, 490, 4397)")
+    assert sorted(r.doc_id for r in R.keep_rows(whole).collect()) == [490, 4397]
+
+
 class Reader(HTMLParser):
     """Blocks by the standard library's parser."""
 
