@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,45 +30,99 @@ def shared_dir(spark: SparkSession) -> str:
     return have
 
 
-_paths: dict[int, tuple] = {}
+#: Paths of written tables that are still there.
+_paths: set[str] = set()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     Lost executors then cost the reader nothing but a read.  ``discard`` removes
-    the table once nothing reads it any more.
+    the table once nothing reads it any more; those that a result still reads are
+    removed by ``release`` or when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.add(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = (out, path)
+    out.written_path = path
     return out
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _paths.discard(path)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Removes tables that ``written`` made; DataFrames that would still read them must have been written themselves."""
     for t in tables:
-        _, path = _paths.pop(id(t), (None, None))
-        if path:
-            at = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if t is not None and getattr(t, "written_path", None) in _paths:
+            _remove(t.sparkSession, t.written_path)
+
+
+def release(spark: SparkSession, keep: DataFrame | None = None, since: frozenset[str] = frozenset()) -> None:
+    """Removes all tables written after ``since`` was taken by ``held``, but for ``keep``: for when results have been stored."""
+    for path in _paths - since - {getattr(keep, "written_path", None)}:
+        _remove(spark, path)
+
+
+def held() -> frozenset[str]:
+    return frozenset(_paths)
+
+
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        try:
+            release(spark)
+        except Exception:  # noqa: BLE001 - the JVM may have gone first
+            pass
+
 
+def whole_id(name: str = "doc_id") -> Column:
+    """A document's integer id; what isn't a whole number counts as null."""
+    return F.col(f"`{name}`").try_cast("long")
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id isn't in ``ids`` (one long column), those without a doc_id too.
 
-    Most texts stay where they are: only rows that a Bloom filter can't clear are
-    shuffled to be joined.
+#: What tells rows apart: doc_id and 128 bits of the text.  Texts of different doc_ids are never compared by it.
+KEY = ("doc_id", "key_a", "key_b")
+
+
+def keys() -> list[Column]:
+    """The KEY columns of a table with doc_id and text."""
+    return [whole_id().alias("doc_id"), F.xxhash64("text").alias("key_a"), F.xxhash64(F.lit(1), "text").alias("key_b")]
+
+
+def beside(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The whole rows as one struct, ``row``, and columns that can't clash with theirs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
+def rows_of(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` out of ``row``."""
+    return df.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def split(docs: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that are certainly not in ``gone``, the others), both with ``row`` and KEY; a Bloom filter decides.
+
+    So most texts stay where they are: only the others need to be shuffled.
     """
-    from pyspark.sql import functions as F
+    among = may_be_among(gone.select(F.xxhash64(*KEY).alias("key")))
+    rows = beside(docs, *keys())
+    known = F.col("doc_id").isNotNull() & F.col("row").getField("text").isNotNull()
+    rows = rows.withColumn("probe", F.when(known, F.xxhash64(*KEY)))
+    return rows.where(~among("probe")).drop("probe"), rows.where(among("probe")).drop("probe")
+
 
-    name = ids.columns[0]
-    key = docs["doc_id"].cast("long")
-    among = may_be_among(ids)
-    clear = docs.where(~among(key))
-    return clear.unionByName(docs.where(among(key)).join(ids.select(F.col(name).alias("__id")).hint("merge"), key == F.col("__id"), "left_anti"))
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose KEY isn't in ``gone``; those without a doc_id or text stay."""
+    clear, rest = split(docs, gone)
+    return rows_of(clear.unionByName(rest.join(gone.select(*KEY).hint("merge"), list(KEY), "left_anti").select(clear.columns)), docs)
 
 
 def by_key(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -121,7 +177,6 @@ def bloom(ids: DataFrame):
     import zlib
 
     import numpy as np
-    from pyspark.sql import functions as F
 
     bits = max(1 << 19, min(BLOOM_MOST_BITS, 1 << (ids.count() * 12).bit_length()))
     names = ["block", "field"]
@@ -171,7 +226,6 @@ def may_be_among(ids: DataFrame):
     out of a shuffle that only some of them need.
     """
     import numpy as np
-    from pyspark.sql import functions as F
 
     filter_ = bloom(ids)
 
