@@ -8,8 +8,10 @@ once that subtree is used up.  All shares are whole numbers, in exact arithmetic
 
 Each leaf takes whole passes over its documents, then a prefix of the tokens of
 one more pass, whose order is the documents' hash under the seed and the number
-of the pass.  Prefix sums are taken over hash buckets first; only the one bucket
-of a leaf in which the budget ends is sorted, so a hot source isn't a hot task.
+of the pass.  Where the prefix ends is found by sums over hash buckets: of 256, then
+of 65,536 within the one in which the budget ends; only what is in the last one is
+sorted, so a hot source isn't a hot task.  The documents themselves are then taken
+by comparison with their leaf's end, without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import beside, discard, rows_of, table, whole_id, written
 
 LEVELS = ("domain", "lang", "source")
 #: Weights of nodes by name, 1 where none is given; the sum of siblings' weights times the tokens must fit in 63 bits.
@@ -73,48 +75,89 @@ def budgets(leaves: DataFrame, total: Column, epochs: int = EPOCHS, weights: tup
     return leaves.join(out, list(LEVELS))
 
 
-def mix(docs: DataFrame, share: tuple[int, int] = SHARE, epochs: int = EPOCHS, seed: str = SEED, weights: tuple[Mapping[str, int], ...] = (DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS), domain: Column | None = None, tokens: Column | None = None) -> DataFrame:
-    """doc_id, domain, lang, source, epoch, tokens and take, a row for each pass in which a document is taken.
+_Weights = tuple[Mapping[str, int], ...]
+_WEIGHTS = (DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS)
+#: Order within a pass: the hash, then what settles ties.
+_ORDER = ("key", "doc_id", "tokens", "tie")
 
-    ``share`` (numerator, denominator) of all tokens is the budget; a document's
-    tokens are its UTF-8 bytes over four, rounded up, unless ``tokens`` is given.
-    ``take`` is less than ``tokens`` only for the last document of a leaf's
-    prefix.  Null languages and sources form nodes named (none).  Rows without
-    tokens (null or empty text) aren't taken.  Repeated rows count as often as
-    they are there; equal hashes are ordered by doc_id, nulls first, then tokens.
-    """
+
+def _bucket_ends(rows: DataFrame, bucket: Column) -> DataFrame:
+    """The bucket of each leaf in which ``part`` tokens end, with what is left of part at its start."""
+    sums = rows.groupBy(*LEVELS, bucket.alias("bucket")).agg(F.sum("tokens").alias("size"), F.first("part").alias("part"))
+    upto = F.sum("size").over(Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.withColumn("before", upto - F.col("size")).where("before < part and part <= before + size")
+    return sums.select(*LEVELS, F.col("bucket").alias("end_bucket"), (F.col("part") - F.col("before")).alias("left"))
+
+
+def _taken(docs: DataFrame, share: tuple[int, int] = SHARE, epochs: int = EPOCHS, seed: str = SEED, weights: _Weights = _WEIGHTS, domain: Column | None = None, tokens: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` as ``row``, with their leaf, epoch, tokens and take."""
     if epochs < 1 or share[0] < 0 or share[1] < 1:
         raise ValueError("epochs and the share must be positive")
     domain = domain_of(F.col("source")) if domain is None else domain
     tokens = F.ceil(F.octet_length("text") / 4) if tokens is None else tokens
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(domain, F.lit(_NONE)).alias("domain"), F.coalesce("lang", F.lit(_NONE)).alias("lang"), F.coalesce("source", F.lit(_NONE)).alias("source"), F.coalesce(tokens, F.lit(0)).cast("long").alias("tokens")).where("tokens > 0")
+    rows = beside(docs, whole_id().alias("doc_id"), *[F.coalesce(c, F.lit(_NONE)).alias(n) for c, n in ((domain, "domain"), (F.col("lang"), "lang"), (F.col("source"), "source"))], F.coalesce(tokens, F.lit(0)).cast("long").alias("tokens"), F.xxhash64("text").alias("tie")).where("tokens > 0")
     leaves = written(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply")), "mix-leaves")
     plan = budgets(leaves, F.expr(f"supply * {share[0]} div {share[1]}"), epochs, weights)
     plan = plan.select(*LEVELS, F.expr("budget div supply").alias("whole"), F.expr("budget % supply").alias("part")).where("whole > 0 or part > 0")
     plan = written(plan, "mix-plan")  # a file of known size: Catalyst broadcasts it only if it is small
-    rows = rows.join(plan, list(LEVELS))
-    full = rows.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)))
-    names = ["doc_id", *LEVELS, "epoch", "tokens"]
     key = F.md5(F.concat_ws("|", F.lit(seed), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    last = rows.where("part > 0").withColumn("key", key).withColumn("bucket", F.substring("key", 1, BUCKET_HEX))
-    sums = last.groupBy(*LEVELS, "bucket").agg(F.sum("tokens").alias("size"), F.first("part").alias("part"))
-    before = F.sum("size").over(Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    sums = written(sums.withColumn("before", before).where("before < part").select(*LEVELS, "bucket", "before", (F.col("before") + F.col("size") <= F.col("part")).alias("all")), "mix-buckets")
-    last = last.join(sums, [*LEVELS, "bucket"]).withColumn("epoch", F.col("whole"))
-    ends = Window.partitionBy(*LEVELS).orderBy("key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
-    cut = last.where("not all").withColumn("start", F.col("before") + F.sum("tokens").over(ends) - F.col("tokens")).where("start < part")
-    cut = cut.select(*names, F.least(F.col("tokens"), F.col("part") - F.col("start")).alias("take"))
-    return full.select(*names, F.col("tokens").alias("take")).unionByName(last.where("all").select(*names, F.col("tokens").alias("take"))).unionByName(cut)
+    keyed = rows.join(plan, list(LEVELS)).withColumn("key", key)
+    bare = keyed.where("part > 0").select(*LEVELS, "part", *_ORDER)
+    ends = _bucket_ends(bare, F.substring("key", 1, BUCKET_HEX))
+    near = written(bare.join(ends, list(LEVELS)).where(F.substring("key", 1, BUCKET_HEX) == F.col("end_bucket")).select(*LEVELS, F.col("left").alias("part"), *_ORDER), "mix-near")
+    inner = F.substring("key", 1 + BUCKET_HEX, 2 * BUCKET_HEX)
+    last = near.join(_bucket_ends(near, inner), list(LEVELS)).where(inner == F.col("end_bucket"))
+    order = Window.partitionBy(*LEVELS).orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    last = last.withColumn("upto", F.sum("tokens").over(order)).where("upto - tokens < left and left <= upto")
+    last = last.select(*LEVELS, F.struct(*_ORDER).alias("last"), (F.col("left") - F.col("upto") + F.col("tokens")).alias("last_take"))
+    ties = near.join(last, list(LEVELS)).where(F.struct(*_ORDER) == F.col("last")).groupBy(*LEVELS).agg(F.count("*").alias("ties"))
+    full = written(plan.join(last.join(ties, list(LEVELS)), list(LEVELS), "left"), "mix-ends")
+    discard(leaves, plan)
+    out = rows.join(full, list(LEVELS)).withColumn("key", key)
+    place = F.struct(*_ORDER)
+    before, at = F.coalesce(place < F.col("last"), F.lit(False)), F.coalesce(place == F.col("last"), F.lit(False))
+    names = ["row", "doc_id", *LEVELS, "epoch", "tokens", "take"]
+    some = out.where(~at | (F.col("ties") == 1)).withColumn("epoch", F.explode(F.expr("sequence(0L, whole)"))).where((F.col("epoch") < F.col("whole")) | before | at)
+    some = some.withColumn("take", F.when((F.col("epoch") == F.col("whole")) & at, F.col("last_take")).otherwise(F.col("tokens"))).select(*names)
+    if full.where("ties > 1").isEmpty():
+        return some
+    # rows that the order can't tell from the last one, so repeated rows of one doc_id
+    equal = out.where(at & (F.col("ties") > 1))
+    passes = equal.where("whole > 0").withColumn("epoch", F.explode(F.expr("sequence(0L, whole - 1)"))).withColumn("take", F.col("tokens")).select(*names)
+    more = _equal_takes(equal, near, last).select(*names)
+    return some.unionByName(passes).unionByName(more)
+
+
+def _equal_takes(equal: DataFrame, near: DataFrame, last: DataFrame) -> DataFrame:
+    """What the prefix takes of repeated rows at its end: whole ones, then the rest of the budget."""
+    earlier = near.join(last, list(LEVELS)).where(F.struct(*_ORDER) < F.col("last")).groupBy(*LEVELS).agg(F.sum("tokens").alias("used"))
+    room = near.select(*LEVELS, "part").distinct().join(earlier, list(LEVELS), "left").select(*LEVELS, (F.col("part") - F.coalesce("used", F.lit(0))).alias("room"))
+    nth = F.row_number().over(Window.partitionBy(*LEVELS).orderBy(F.to_json("row")))
+    out = equal.join(room, list(LEVELS)).withColumn("start", (nth - 1) * F.col("tokens")).where("start < room")
+    return out.withColumn("epoch", F.col("whole")).withColumn("take", F.least("tokens", F.col("room") - F.col("start")))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, domain, lang, source, epoch, tokens and take, a row for each pass in which a document is taken.
+
+    Options: ``share`` (numerator, denominator) of all tokens is the budget; a document's
+    tokens are its UTF-8 bytes over four, rounded up, unless ``tokens`` is given;
+    ``epochs``, ``seed``, ``weights`` by level, and ``domain``, a Column.
+    ``take`` is less than ``tokens`` only for the last document of a leaf's
+    prefix.  Null languages and sources form nodes named (none).  Rows without
+    tokens (null or empty text) aren't taken.  Repeated rows count as often as
+    they are there; equal hashes are ordered by doc_id, nulls first, then tokens, then the
+    text's hash.  A doc_id that is no whole number counts as null.  An empty table gives no row.
+    """
+    return _taken(docs, **options).drop("row")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs``, whole and with all columns, as often as the mix takes them.
+    """Rows of ``docs``, whole and with all columns, as often as ``mix`` takes them; their texts aren't shuffled.
 
-    A doc_id that several rows share is taken with each of its rows.
+    Each row is taken on its own, rows that share a doc_id too; columns may have any names.
     """
-    taken = mix(docs, **options).groupBy("doc_id").agg(F.count_distinct("epoch").alias("__times")).withColumnRenamed("doc_id", "__id")
-    out = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(taken["__id"]))
-    return out.withColumn("__times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*[docs[c] for c in docs.columns])
+    return rows_of(_taken(docs, **options), docs)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

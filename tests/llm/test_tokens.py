@@ -155,13 +155,23 @@ def test_budgets(spark):
 def test_mix_of_odd_rows(odd, empty):
     got = op10_mixing.mix(odd, share=(1, 1), epochs=1).collect()
     assert sum(r.take for r in got) <= sum(r.tokens for r in got)
-    assert {r.doc_id for r in got} <= {1, 2, None, 6, 7, 8, 9}
+    assert {r.doc_id for r in got} <= {1, 2, None, 6, 7, 8, 9, 10, 11}
     whole = op10_mixing.mixed_rows(odd, share=(2, 1), epochs=2)
     assert whole.columns == odd.columns
-    assert sorted((r.doc_id or 0) for r in whole.where("doc_id = 8").collect()) == [8] * 4
+    assert sorted((r.doc_id or 0) for r in whole.where("doc_id in (8, 10)").collect()) == [8] * 4 + [10] * 4
     assert op10_mixing.mix(empty).count() == 0 and op10_mixing.mixed_rows(empty).count() == 0
 
 
+@pytest.mark.parametrize("share", [(1, 5), (1, 2), (7, 20), (3, 2)])
+def test_mix_ends_in_repeated_rows(frame, share):
+    """Five rows that no order tells apart: as many are taken as the budget has room for, the last in part."""
+    docs = frame([(1, "sixteen bytes ..", "en", "src1")] * 5)
+    want = sorted([4] * (5 * 4 * share[0] // share[1] // 4) + [x for x in [5 * 4 * share[0] // share[1] % 4] if x])
+    got = op10_mixing.mix(docs, share=share)
+    assert sorted(r.take for r in got.collect()) == want
+    assert op10_mixing.mixed_rows(docs, share=share).count() == len(want)
+
+
 def test_mix_is_seeded(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
 
