@@ -18,7 +18,7 @@ def frame(spark):
 @pytest.fixture(scope="session")
 def odd(frame):
     """Nulls in any column, empty and long texts, ties, repeated rows, columns with clashing names."""
-    extra = ", grp long, text_1 string, sig long, sum string, __gone long"
+    extra = ", grp long, text_1 string, sig long, sum string, __id long, __nth long, __times long, row string, key_a long, epoch long, at long, stays boolean, probe long"
     long = " ".join(f"w{k}" for k in range(30000))
     rows = [
         (1, "alpha beta gamma delta epsilon", "en", "src1", 30),
@@ -33,6 +33,9 @@ def odd(frame):
         (8, "mail me at jo.doe@example.com now", "en", "src6", 33),
         (9, "é ñ ß 漢字 😀 don't", "es", "src7", 16),
         (None, None, None, None, None),
+        (10, "one text of the id ten", "en", "src1", 22),
+        (10, "quite other words under that same number", "en", "src1", 40),
+        (11, "one text of the id ten", "en", "src1", 22),
     ]
     return frame(rows, extra)
 
