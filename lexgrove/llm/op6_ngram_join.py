@@ -149,10 +149,11 @@ def _cells(t: float, small: int):
     """Pairs from small cells, (set, set, leader) from larger ones, (set, null, gram) of frequent n-grams; rows are sorted by gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "size_a", "size_b", "pos_a", "pos_b", "leader"]
+        names = ["a", "b", "star", "size_a", "size_b", "pos_a", "pos_b", "leader"]
 
         def some(a, b, za, zb, pa_, pb, leader):  # noqa: ANN001, ANN202
-            return pa.record_batch([pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b), *map(pa.array, (za, zb, pa_, pb, leader))], names)
+            star = leader if b is None or b is a else np.zeros(len(a), np.int64)
+            return pa.record_batch([pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b), *map(pa.array, (star, za, zb, pa_, pb, leader))], names)
 
         def rare(whole: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in whole:
@@ -176,8 +177,8 @@ def _cells(t: float, small: int):
             big = k > small
             if big.any():
                 star, at = np.unique(np.stack([sig[big], leader[big]]), axis=1, return_index=True)
-                z = size[big][at]
-                yield some(star[0], star[0], z, z, z, z, star[1])
+                own, z = star[0], size[big][at]
+                yield some(own, own, z, z, z, z, star[1])
             at = np.arange(len(gram))
             for step in range(1, small):
                 x = np.flatnonzero(~big & (at - start + step < k))
@@ -463,15 +464,15 @@ def _joined(docs: DataFrame, threshold: float, n: int, small_cell: int, pairs: b
     single = _once(docs, spare)
     prefix = single.select("text").mapInArrow(frugal(_second_pass(n, threshold, sketch, clashing)), "gram long, spread int, sig long, size int, pos int")
     live = prefix.withColumn("cell", F.count("*").over(Window.partitionBy("gram", "spread"))).where("cell > 1 or spread > 0").select("gram", "spread", "sig", "size", "pos")
-    cells = written(live.mapInArrow(frugal(_cells(threshold, small_cell)), "a long, b long, size_a int, size_b int, pos_a int, pos_b int, leader long"), "ngram-cells")
+    cells = live.mapInArrow(frugal(_cells(threshold, small_cell)), "a long, b long, star long, size_a int, size_b int, pos_a int, pos_b int, leader long")
+    cells = written(cells.groupBy("a", "b", "star").agg(F.count("*").alias("common"), *(F.max(c).alias(c) for c in ("size_a", "size_b", "pos_a", "pos_b")), F.min("leader").alias("leader")), "ngram-cells")
     often = cells.where("b is null").groupBy("leader").agg(F.min("a").alias("least"), F.count("*").alias("cell")).where("cell > 1").select("leader", "least")
     stars = cells.where("b = a").select(F.col("a").alias("sig"), F.col("leader").alias("block")).unionByName(cells.where("b is null").join(often, "leader").select(F.col("a").alias("sig"), F.col("least").alias("block")))
-    counted = cells.where("b <> a").groupBy("a", "b").agg(F.count("*").alias("common"), *(F.max(c).alias(c) for c in ("size_a", "size_b", "pos_a", "pos_b")), F.min("leader").alias("leader"))
     # All of the overlap past the last common n-gram of both prefixes lies behind its places, and past the earlier of the prefix ends.
     behind = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) - 1
     rest = F.greatest(*(F.ceil(F.col(s) * F.lit(threshold) - 1e-9) - 1 for s in ("size_a", "size_b")))
     needed = F.greatest(F.lit(1), F.ceil((F.col("size_a") + F.col("size_b")) * F.lit(threshold / (1 + threshold)) - 1e-9))
-    possible = counted.where(F.col("common") + F.least(behind, rest) >= needed)
+    possible = cells.where(F.col("b") != F.col("a")).where(F.col("common") + F.least(behind, rest) >= needed)
     places = possible.select(F.explode(F.array("a", "b")).alias("sig"), F.col("leader").alias("block")).unionByName(stars).distinct()
     places = written(places.join(heads.select("sig", "size"), "sig").select("sig", "block", "size"), "ngram-places")
     discard(cells)
