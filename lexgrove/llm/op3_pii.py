@@ -6,6 +6,12 @@ and secrets.  From an anchor a deterministic parser expands to both sides and
 validates what it has: e-mail addresses, web and IPv4 addresses, telephone, card,
 account, social security and IBAN numbers, access keys and secrets.  No search for
 patterns runs over the text outside the anchors' surroundings.
+
+Reaches: a number is at most 19 digits long, in groups with single spaces, hyphens or
+full stops between; an account number begins within 16 characters of its cue, a sign
+within 4 of a secret's cue and the value within 4 more; an IBAN follows its cue but for
+spaces, colons and the like.  Each run of characters is read a fixed number of
+times, however many anchors are in it: parsers remember the run that they read last.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, table
+from .common import frugal, table, whole_id
 
 _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _DIGITS = frozenset("0123456789")
@@ -90,17 +96,24 @@ def _email(text: str, at: int, floor: int) -> tuple[str, int, int] | None:
     return "email", a, at + 1 + len(domain)
 
 
+_SCHEME = _ALNUM | frozenset("+.-")
+_HOST = _ALNUM | frozenset("[_")
+
+
 def _url(text: str, at: int, floor: int) -> tuple[str, int, int] | None:
-    a = _left(text, at, _ALNUM | frozenset("+.-"), floor)
+    if at + 3 >= len(text) or text[at + 3] not in _HOST:
+        return None
+    a = _left(text, at, _SCHEME, floor)
     while a < at and not text[a].isalpha():
         a += 1
-    b = at + 3
+    if at - a < 2:
+        return None
+    b = at + 4
     while b < len(text) and not text[b].isspace() and text[b] not in "<>\"'`{}|\\^":
         b += 1
-    while b > at + 3 and text[b - 1] in ".,;:!?)]*":
+    while text[b - 1] in ".,;:!?)]*":
         b -= 1
-    host = text[at + 3 : b]
-    return ("url", a, b) if at - a > 1 and host and host[0] in _ALNUM | frozenset("[_") else None
+    return "url", a, b
 
 
 def _phone(text: str, at: int) -> tuple[str, int, int] | None:
@@ -122,48 +135,90 @@ def _phone(text: str, at: int) -> tuple[str, int, int] | None:
     return ("phone", at, b) if n >= 8 and (most == 15 or n == 11) else None
 
 
-def _number(text: str, at: int, end: int, floor: int) -> tuple[str, int, int] | None:
-    """Around digits: IPv4, social security, telephone and card numbers; other long numbers need a cue."""
-    digits = _DIGITS
-    # IPv4: the run of digits and full stops
-    run = digits | frozenset(".")
-    a, b = _left(text, at, run, floor), _right(text, end, run)
+_DOTTED = _DIGITS | frozenset(".")
+_LONGEST = 19
+
+
+class _Runs:
+    """What parsers remember of the runs that they read last in one text."""
+
+    def __init__(self) -> None:
+        self.dotted = (0, 0, -1)  # begin, end and floor of a run of digits and full stops that is no address
+        self.digits = 0  # end of a run of digits that is no number
+        self.value = (0, 0, -1)  # begin, end and last digit of a run without white space
+        self.unquoted: dict[str, int] = {}  # where there is no closing quote any more
+
+
+def _ip(text: str, at: int, end: int, floor: int, runs: _Runs) -> tuple[str, int, int] | None:
+    a, b, known = runs.dotted
+    if known == floor and a <= at and end <= b:
+        return None
+    a, b = _left(text, at, _DOTTED, floor), _right(text, end, _DOTTED)
+    runs.dotted = (a, b, floor)
     while a < b and text[a] == ".":
         a += 1
     while b > a and text[b - 1] == ".":
         b -= 1
-    clear = (a == 0 or text[a - 1] not in _ALNUM) and (b == len(text) or text[b] not in _ALNUM)
+    if b - a > 15 or (a and text[a - 1] in _ALNUM) or (b < len(text) and text[b] in _ALNUM):
+        return None
     parts = text[a:b].split(".")
-    if clear and len(parts) == 4 and all(0 < len(p) < 4 and int(p) < 256 and (p == "0" or p[0] != "0") for p in parts):
-        return "ip", a, b
-    # groups of digits with single spaces or hyphens between
-    a, b = _left(text, at, digits, floor), _right(text, end, digits)
-    if text[a:b].count(".") or (a and text[a - 1] in _ALNUM):
+    good = len(parts) == 4 and all(0 < len(p) < 4 and int(p) < 256 and (p == "0" or p[0] != "0") for p in parts)
+    return ("ip", a, b) if good else None
+
+
+def _number(text: str, at: int, end: int, floor: int, runs: _Runs) -> tuple[str, int, int] | None:
+    """Around digits: IPv4, social security, telephone and card numbers; other long numbers need a cue."""
+    found = _ip(text, at, end, floor, runs)
+    if found:
+        return found
+    if text[at + 1] == "." or end <= runs.digits:
         return None
-    groups, k = [b - a], b
-    while k + 1 < len(text) and text[k] in " -" and text[k + 1] in digits and len(groups) < 8:
-        e = _right(text, k + 1, digits)
-        groups.append(e - k - 1)
+    a, b = _left(text, at, _DIGITS, floor), _right(text, end, _DIGITS)
+    runs.digits = b
+    if b - a > _LONGEST or (a and text[a - 1] in _ALNUM):
+        return None
+    # groups of digits with single marks between; the first may be in brackets
+    bracket = b - a == 3 and a > floor and text[a - 1] == "(" and text[b : b + 1] == ")"
+    groups, marks, ends, total, k = [b - a], "", [b], b - a, b
+    while total < _LONGEST:
+        n = 1 + (bracket and k == b and text[k + 1 : k + 2] in (" ", "-"))
+        if not (text[k : k + 1] == ")" if bracket and k == b else text[k : k + 1] in (" ", "-", ".")) or text[k + n : k + n + 1] not in _DIGITS:
+            break
+        e = _right_most(text, k + n, _LONGEST + 1)
+        total += e - k - n
+        marks += text[k]
+        groups.append(e - k - n)
+        ends.append(e)
         k = e
     for take in range(len(groups), 0, -1):
-        e = b
-        for g in groups[1:take]:
-            e += g + 1
+        shape = groups[:take]
+        card = 13 <= total <= _LONGEST and (take == 1 or min(shape[:-1]) == 4) and "." not in marks[: take - 1]
+        total -= groups[take - 1]
+        if not card and shape not in ([3, 2, 4], [3, 3, 4]):
+            continue
+        e, between = ends[take - 1], set(marks[: take - 1])
         if e < len(text) and text[e] in _ALNUM:
             continue
-        number = "".join(c for c in text[a:e] if c in digits)
-        shape = groups[:take]
-        if 13 <= len(number) <= 19 and luhn(number) and (take == 1 or min(shape[:-1]) == 4):
+        number = "".join(c for c in text[a:e] if c in _DIGITS)
+        if card and ")" not in between and luhn(number):
             return "card", a, e
-        if shape == [3, 2, 4] and text[a + 3] == text[a + 6] == "-" and number[:3] not in ("000", "666") and number[0] != "9":
+        if shape == [3, 2, 4] and between == {"-"} and number[:3] not in ("000", "666") and number[0] != "9":
             return "ssn", a, e
         if shape == [3, 3, 4] and number[0] > "1" and number[3] > "1":
-            return "phone", a, e
+            return "phone", a - bracket, e
     return None
 
 
-def _secret(text: str, at: int) -> tuple[str, int, int] | None:
-    """After a cue: a sign, a value of six characters or more with a digit, in quotes or up to white space."""
+def _right_most(text: str, at: int, most: int) -> int:
+    """As ``_right`` over digits, but no further than ``most``."""
+    end = min(len(text), at + most)
+    while at < end and text[at] in _DIGITS:
+        at += 1
+    return at
+
+
+def _secret(text: str, at: int, runs: _Runs) -> tuple[str, int, int] | None:
+    """After a cue: a sign, a value of six characters or more with a digit, to the closing quote or up to white space."""
     k = at
     if k < len(text) and text[k] in "\"'":
         k += 1
@@ -176,32 +231,46 @@ def _secret(text: str, at: int) -> tuple[str, int, int] | None:
         k += 1
     quote = text[k] if k < len(text) and text[k] in "\"'" else ""
     k += len(quote)
-    e = k
-    while e < len(text) and not text[e].isspace() and text[e] not in "\"'<>,;*#%$&":
-        e += 1
-    while e > k and text[e - 1] in ".!?)":
+    if quote and k < runs.unquoted.get(quote, len(text)):
+        e = text.find(quote, k)
+        if e < 0:
+            runs.unquoted[quote] = k
+        elif "\n" not in (value := text[k:e]):
+            return ("secret", k, e) if len(value) >= 6 and any(c in _DIGITS for c in value) else None
+    a, e, last = runs.value
+    if not a <= k < e:
+        e, last = k, -1
+        while e < len(text) and not text[e].isspace() and text[e] not in "\"'<>":
+            if text[e] in _DIGITS:
+                last = e
+            e += 1
+        runs.value = (k, e, last)
+    if last < k:
+        return None
+    while e > last + 1 and text[e - 1] in ".!?),;*#%$&:":
         e -= 1
-    value = text[k:e]
-    return ("secret", k, e) if len(value) >= 6 and any(c in _DIGITS for c in value) else None
+    return ("secret", k, e) if e - k >= 6 else None
 
 
 def _key(text: str, at: int) -> tuple[str, int, int] | None:
-    e = _right(text, at, _ALNUM)
-    value = text[at:e]
-    if (at and text[at - 1] in _ALNUM) or len(value) != 20 or value != value.upper():
+    if at and text[at - 1] in _ALNUM:
         return None
-    return "key", at, e
+    value = text[at : at + 21]
+    e = _right(value, 0, _ALNUM)
+    return ("key", at, at + 20) if e == 20 and value[:20] == value[:20].upper() else None
 
 
 def _iban(text: str, at: int) -> tuple[str, int, int] | None:
     k = at
-    while k < len(text) and k < at + 4 and text[k] in " :=#":
+    while k < len(text) and text[k] in " :=#":
         k += 1
     e, value = k, ""
+    if not (text[k : k + 2].isalpha() and text[k : k + 2].isupper() and text[k + 2 : k + 4].isdigit()):
+        return None
     while e < len(text) and len(value) < 34 and (text[e] in _ALNUM or (text[e] == " " and e + 1 < len(text) and text[e + 1] in _ALNUM)):
         value += text[e].strip()
         e += 1
-        if len(value) >= 15 and value[:2].isalpha() and value[:2].isupper() and value[2:4].isdigit() and (e == len(text) or text[e] not in _ALNUM):
+        if len(value) >= 15 and (e == len(text) or text[e] not in _ALNUM):
             turned = "".join(str(int(c, 36)) for c in value[4:] + value[:4])
             if int(turned) % 97 == 1:
                 return "iban", k, e
@@ -222,7 +291,7 @@ def _account(text: str, at: int) -> tuple[str, int, int] | None:
 def findings(text: str) -> list[tuple[str, int, int]]:
     """(kind, begin, end) in the order of the text, in characters; they don't overlap."""
     out: list[tuple[str, int, int]] = []
-    done = 0
+    done, runs = 0, _Runs()
     for last, (kind, n) in automaton().iter(_lower(text)):
         at, end = last - n + 1, last + 1
         if at < done:
@@ -234,7 +303,7 @@ def findings(text: str) -> list[tuple[str, int, int]]:
         elif kind == "phone":
             found = _phone(text, at)
         elif kind == "number":
-            found = _number(text, at, end, done)
+            found = _number(text, at, end, done, runs)
         elif kind == "key":
             found = _key(text, at)
         elif kind == "iban":
@@ -242,7 +311,7 @@ def findings(text: str) -> list[tuple[str, int, int]]:
         elif kind == "account":
             found = _account(text, end)
         else:
-            found = _secret(text, end)
+            found = _secret(text, end, runs)
         if not found:
             continue
         if kind == "email" or kind == "url":  # these expand to the left, over what a cue before may have found
@@ -256,9 +325,9 @@ def findings(text: str) -> list[tuple[str, int, int]]:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, kind, begin, end and value of every finding; places count characters from 0.
 
-    Documents without findings, null and empty texts give no row.  Repeated rows
-    give repeated findings; a null doc_id stays null.  Only doc_id and text are
-    read; nothing is shuffled.
+    Documents without findings, null and empty texts and empty tables give no row.  Repeated rows
+    give repeated findings; a doc_id that is null or no whole number is null.  Only doc_id and text are
+    read, whatever other columns there are; nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,11 +339,15 @@ def scan(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["doc_id", "kind", "begin", "end", "value"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(frugal(run), SCHEMA)
+    return docs.select(whole_id().alias("doc_id"), "text").where("text is not null").mapInArrow(frugal(run), SCHEMA)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with each finding in text replaced by its kind in square brackets; null texts stay null."""
+    """``docs`` with each finding in text replaced by its kind in square brackets.
+
+    All other columns and rows stay as they are, repeated rows and columns of any name too;
+    null texts stay null, empty ones empty; an empty table stays empty.
+    """
 
     @F.pandas_udf("string")
     def clean(texts):  # noqa: ANN001, ANN202
