@@ -5,20 +5,25 @@ block by its length, the density of stop words and the density of linked text:
 *good*, *near good*, *short* or *bad*.  In the second pass short and near good
 blocks, which are ambiguous, inherit the label of the nearest good or bad blocks
 before and after them.  The good blocks are the page's text.
+
+Stop words are a parameter, lists by language; four are given.  A page that declares another
+language, or of whose long blocks most words aren't in Latin letters where no list has such
+words either, is judged by length and links alone.
+A page is read once from left to right, however broken its tags are.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, table
+from .common import frugal, table, whole_id
 
 #: Characters of a short and of a long block; stop word densities of near good and good blocks; most linked share.
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKED = 70, 200, 0.08, 0.18, 0.2
@@ -30,15 +35,15 @@ STOP_WORDS = {
     "fr": "à au aux avec ce ces cette dans de des du elle en est et eu il ils je la le les leur lui ma mais me même mes mon ne nos notre nous on ont ou par pas pour plus qu que qui sa se ses si son sont sur ta te tu un une vos votre vous y été être",
     "es": "a al algo ante como con de del desde donde el ella en entre era es esa ese eso esta este esto fue ha hasta la las le les lo los me mi más muy no nos o para pero por porque que qué se si sin sobre son su sus también te tiene tu un una uno y ya",
 }
-_STOPS = [frozenset(x.split()) for x in STOP_WORDS.values()]
+_STOPS = {k: frozenset(x.split()) for k, x in STOP_WORDS.items()}
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-_SKIP = "script|style|noscript|template|textarea|iframe|svg|head"
-_PIECE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<skip>{_SKIP})(?=[\s/>])[^>]*+>.*?(?:</(?P=skip)\s*+>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>|<(?P<close2>/?)(?P<tag2>[a-zA-Z][\w:-]*+)[^>]*+>|<[!?/][^>]*+>|(?P<text>[^<]++|<)",
-    re.S | re.I,
-)
+SKIPPED = frozenset("script style noscript template textarea iframe svg".split())
+IN_HEAD = frozenset("head title".split())
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([a-zA-Z]+)", re.I)
+_NAME = re.compile(r"/?([a-zA-Z][\w:-]*+)")
+_INSIDE = re.compile(r"(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+")
+_ENDS = {x: re.compile(rf"</{x}\s*+>", re.I) for x in SKIPPED}
 _WORD = re.compile(r"\w+")
 
 
@@ -50,6 +55,50 @@ class Block:
     label: str = ""
 
 
+def _pieces(page: str) -> Iterator[tuple[str, str | None, bool]]:
+    """(text, None, False) or ("", tag in lower case, whether it ends), without comments and skipped elements.
+
+    A tag ends at the first ``>`` outside quotes.  Where quotes don't close, tags up to
+    there end at their first ``>``; a ``<`` with no ``>`` behind it is text.  So no part is
+    searched more than a fixed number of times.
+    """
+    at, n, broken, last = 0, len(page), 0, page.rfind(">")
+    while at < n:
+        lt = page.find("<", at)
+        if lt != at:
+            yield page[at : lt if lt >= 0 else n], None, False
+            if lt < 0:
+                return
+        if page.startswith("<!--", lt):
+            to = page.find("-->", lt + 4)
+            if to < 0:
+                return
+            at = to + 3
+            continue
+        name = _NAME.match(page, lt + 1)
+        if lt > last or (name is None and page[lt + 1 : lt + 2] not in ("!", "?", "/")):
+            yield "<", None, False
+            at = lt + 1
+            continue
+        if name is None:
+            at = page.find(">", lt) + 1
+            continue
+        to = -1
+        if lt >= broken:
+            to = _INSIDE.match(page, name.end()).end()
+            if to >= n or page[to] != ">":
+                broken, to = to, -1
+        at = (to if to >= 0 else page.find(">", name.end())) + 1
+        tag, ends = name[1].lower(), page[lt + 1] == "/"
+        if tag in SKIPPED and not ends:
+            m = _ENDS[tag].search(page, at)
+            if m is None:
+                return
+            at = m.end()
+            continue
+        yield "", tag, ends
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks that have text, in order."""
     out: list[Block] = []
@@ -64,17 +113,18 @@ def blocks(page: str) -> list[Block]:
         text.clear()
         linked = 0
 
-    for m in _PIECE.finditer(page):
-        piece = m["text"]
-        if piece is not None:
-            text.append(piece)
-            if link:
-                linked += len("".join(html.unescape(piece).split()))
-            continue
-        tag = m["tag"] or m["tag2"]
-        if not tag:
+    head = False
+    for piece, tag, ends in _pieces(page):
+        if tag is None:
+            if not head:
+                text.append(piece)
+                if link:
+                    linked += len("".join(html.unescape(piece).split()))
             continue
-        tag, ends = tag.lower(), bool(m["close"] or m["close2"])
+        if tag == "head":
+            head = not ends
+        elif tag == "body" or (tag in BLOCK_TAGS and tag not in IN_HEAD):
+            head = False  # the end tag of a head may be left out
         if tag in BLOCK_TAGS:
             close()
             if tag in HEADINGS:
@@ -90,14 +140,19 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def first_pass(b: Block) -> str:
+def _density(words: list[str], stops: Sequence[frozenset[str]]) -> float:
+    return max((sum(w in s for w in words) for s in stops), default=0) / max(len(words), 1)
+
+
+def first_pass(b: Block, stops: Sequence[frozenset[str]] = tuple(_STOPS.values()), foreign: bool = False) -> str:
     n = len(b.text)
     if b.linked > LINKED * len("".join(b.text.split())) or "©" in b.text:
         return "bad"
     if n < SHORT:
         return "bad" if b.linked else "short"
-    words = [w.lower() for w in _WORD.findall(b.text)]
-    density = max(sum(w in s for w in words) for s in _STOPS) / max(len(words), 1)
+    if foreign:
+        return "good" if n > LONG else "near good"
+    density = _density([w.lower() for w in _WORD.findall(b.text)], stops)
     if density >= STOP_HIGH:
         return "good" if n > LONG else "near good"
     return "near good" if density >= STOP_LOW else "bad"
@@ -141,31 +196,44 @@ def second_pass(labels: list[str], headings: list[bool]) -> list[str]:
     return out
 
 
-def extract(page: str) -> tuple[int, int, str]:
+def foreign(page: str, found: list[Block], languages: Collection[str], stops: Sequence[frozenset[str]]) -> bool:
+    """Whether a page is in a language that has no stop words."""
+    at = page.find("<html")
+    declared = _LANG.search(page[at : page.find(">", at) + 1]) if at >= 0 else None
+    if declared:
+        return declared[1].lower() not in languages
+    words = [w.lower() for b in found if len(b.text) >= SHORT for w in _WORD.findall(b.text)]
+    other = sum(any(c.isalpha() and ord(c) > 0x24F for c in w) for w in words)
+    return 2 * other > len(words) and _density(words, stops) < STOP_LOW
+
+
+def extract(page: str, stop_words: Mapping[str, frozenset[str]] = _STOPS) -> tuple[int, int, str]:
     """Blocks, good blocks and the text, a line for each good block."""
-    found = blocks(page)
-    labels = second_pass([first_pass(b) for b in found], [b.heading for b in found])
+    found, stops = blocks(page), list(stop_words.values())
+    other = foreign(page, found, stop_words, stops)
+    labels = second_pass([first_pass(b, stops, other) for b in found], [b.heading for b in found])
     good = [b.text for b, x in zip(found, labels, strict=True) if x == "good"]
     return len(found), len(good), "\n".join(good)
 
 
-def main_text(pages: DataFrame) -> DataFrame:
+def main_text(pages: DataFrame, stop_words: Mapping[str, str] = STOP_WORDS) -> DataFrame:
     """page_id, url, n_blocks, n_good and text of every page; no shuffle.
 
     A null html gives a null text and no blocks, an empty one an empty text.
-    Repeated rows are repeated; null ids and urls stay null.  Other columns aren't
-    read.
+    Repeated rows are repeated; null ids and urls stay null, an id that is no whole number is null. Other columns aren't
+    read; an empty table gives no row.
     """
+    stops = {k: frozenset(x.split()) for k, x in stop_words.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                rows = [(0, 0, None) if x is None else extract(x) for x in part.column(2).to_pylist()]
+                rows = [(0, 0, None) if x is None else extract(x, stops) for x in part.column(2).to_pylist()]
                 n, good, text = zip(*rows, strict=True)
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(n, pa.int32()), pa.array(good, pa.int32()), pa.array(text, pa.string())], ["page_id", "url", "n_blocks", "n_good", "text"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(frugal(run), SCHEMA)
+    return pages.select(whole_id("page_id").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(frugal(run), SCHEMA)
 
 
 def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
