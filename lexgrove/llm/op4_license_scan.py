@@ -8,14 +8,18 @@ matched is the coverage; from ``least`` on it is reported.
 
 Windows come from cue words: as many of a template's words, the longest first,
 that no part with the least coverage can be without all of them.  So texts
-without a cue are passed over without loss.
+without a cue are passed over without loss.  Windows as long as the template and a
+quarter more come first.  In what is left of the text between the occurrences found, the
+length of the longest common subsequence, which no alignment exceeds, says whether there
+can be another one, with an insertion of any length; if so, the shortest run of words
+that reaches the least coverage, ended at the first word where it can, is aligned.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import frugal, table
+from .common import frugal, table, whole_id
 from .licenses import TEMPLATES
 
 LEAST = 0.9
@@ -93,7 +97,12 @@ class Template:
         h, starts, ends, _ = B.words(data, off)
         self.name, self.words = name, h.tolist()
         size = (ends - starts).tolist()
-        count = Counter(self.words)
+        count = self.count = Counter(self.words)
+        self.bits: dict[int, int] = {}
+        self.back: dict[int, int] = {}
+        for k, w in enumerate(self.words):
+            self.bits[w] = self.bits.get(w, 0) | 1 << k
+            self.back[w] = self.back.get(w, 0) | 1 << (len(self.words) - 1 - k)
         spare = len(self.words) - int(np.ceil(least * len(self.words) - 1e-9))
         self.cues: dict[int, int] = {}
         covered = 0
@@ -106,13 +115,53 @@ class Template:
         self.places = {w: [k for k, v in enumerate(self.words) if v == w] for w in self.cues}
 
 
-def matches(words: list[int], hits: list[int], templates: list[Template], least: float) -> list[tuple[str, float, int, int, int]]:
+def _reaches(words: Sequence[int], bits: Mapping[int, int], m: int, need: int, at: range) -> int:
+    """The first place, in the order of ``at``, by which the words have a common subsequence of ``need`` words with the template, or -1.
+
+    One step a word, on a bit vector of the template's length.
+    """
+    full = (1 << m) - 1
+    v = full
+    for k in at:
+        x = bits.get(words[k])
+        if x is not None:
+            u = v & x
+            v = ((v + u) | (v - u)) & full
+            if m - v.bit_count() >= need:
+                return k
+    return -1
+
+
+def _scattered(words: Sequence[int], lo: int, hi: int, t: Template, need: int) -> Iterator[tuple[float, int, int, int]]:
+    """Occurrences with long insertions among the words from lo to hi."""
+    m = len(t.words)
+    while hi - lo >= need:
+        end = _reaches(words, t.bits, m, need, range(lo, hi))
+        if end < 0:
+            return
+        begin = _reaches(words, t.back, m, need, range(end, lo - 1, -1))
+        stop = min(hi, end + 1 + m - need)
+        start = max(lo, begin - m + need)
+        pairs, anchors = align(words[start:stop], t.words)
+        if len(pairs) < need:  # the words around may hide the anchors
+            start, stop = begin, end + 1
+            pairs, anchors = align(words[start:stop], t.words)
+        if len(pairs) >= need:
+            begin, end = start + pairs[0][0], start + pairs[-1][0]
+        # if repeated words keep the anchors from it, the common subsequence itself is the alignment
+        yield max(len(pairs), need) / m, anchors, begin, end + 1
+        lo = end + 1
+
+
+def matches(words: Sequence[int], hits: Sequence[int], templates: list[Template], least: float) -> list[tuple[str, float, int, int, int]]:
     """(licence, coverage, anchors, first word, word after the last) in one text; hits: places of cue words of any template."""
     out = []
     for t in templates:
-        m, done = len(t.words), -1
-        for p in hits:
-            if p <= done or words[p] not in t.cues:
+        m, done, found = len(t.words), -1, []
+        need = int(np.ceil(least * m - 1e-9))
+        own = [p for p in hits if words[p] in t.cues]
+        for p in own:
+            if p <= done:
                 continue
             best: tuple[float, int, int, int] | None = None
             for q in t.places[words[p]]:
@@ -120,14 +169,19 @@ def matches(words: list[int], hits: list[int], templates: list[Template], least:
                 lo, hi = max(0, done + 1, p - q - slack), min(len(words), p - q + m + slack)
                 part = words[lo:hi]
                 # no alignment matches more than the common words, counted
-                if sum((Counter(part) & Counter(t.words)).values()) < least * m - 1e-9:
+                if sum((Counter(part) & t.count).values()) < need:
                     continue
                 pairs, anchors = align(part, t.words)
-                if len(pairs) >= least * m - 1e-9 and (best is None or len(pairs) / m > best[0]):
+                if len(pairs) >= need and (best is None or len(pairs) / m > best[0]):
                     best = (len(pairs) / m, anchors, lo + pairs[0][0], lo + pairs[-1][0] + 1)
             if best:
-                out.append((t.name, *best))
+                found.append(best)
                 done = best[3] - 1
+        edges = [0, *(x for f in found for x in f[2:]), len(words)]
+        for lo, hi in zip(edges[::2], edges[1::2], strict=True):
+            if any(lo <= p < hi for p in own):
+                found += _scattered(words, lo, hi, t, need)
+        out += [(t.name, *f) for f in sorted(found, key=lambda f: f[2])]
     return out
 
 
@@ -136,8 +190,9 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float
 
     Words are runs of letters, digits and non-ASCII characters, without case,
     counted from 0.  Occurrences of one template don't overlap; those of several
-    may.  Null and empty texts give no row; repeated rows give repeated results; a
-    null doc_id stays null.  Only doc_id and text are read; nothing is shuffled.
+    may.  Words of other text may stand between a template's words, however many.
+    Null and empty texts and empty tables give no row; repeated rows give repeated results; a
+    doc_id that is null or no whole number is null.  Only doc_id and text are read; nothing is shuffled.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be in (0, 1]")
@@ -164,7 +219,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float
                 types = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "license", "coverage", "anchors", "begin_word", "end_word"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(frugal(run), SCHEMA)
+    return docs.select(whole_id().alias("doc_id"), "text").where("text is not null").mapInArrow(frugal(run), SCHEMA)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
