@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import InvalidState
 from .functions import arrays, text
 from .operators import expand, index, layout, scoring, search
 from .plans import scan
@@ -61,7 +62,9 @@ _matching("bool_min_should_match", Bool(should=(_the, _of, _and, Term("text", "q
 _matching("bool_filter", Bool(must=(_the,), filter=(Term("lang", "en"), Range("n_chars", lt=2000.0))), f"{_has('the')} AND contains(lang, 'en') AND n_chars < 2000")
 _matching("bool_nested", Bool(must=(Bool(should=(_of, Term("text", "und"))), Bool(must_not=(Term("lang", "fr"),)))), f"({_has('of')} OR {_has('und')}) AND NOT contains(lang, 'fr')")
 _matching("range_incl", Range("n_chars", gte=1000.0, lte=2000.0), "n_chars >= 1000 AND n_chars <= 2000")
-_matching("range_excl", Range("n_chars", gt=1000.0, lt=2000.0), "n_chars > 1000 AND n_chars < 2000")
+# whole numbers from 1 to 50, so both bounds are met by rows
+_matching("range_bounds", Range("p_size", gte=10.0, lte=20.0), "p_size BETWEEN 10 AND 20", "part", "p_partkey")
+_matching("range_excl", Range("p_size", gt=10.0, lt=20.0), "p_size > 10 AND p_size < 20", "part", "p_partkey")
 _matching("range_open", Range("n_chars", gte="*", lte=1500.0), "n_chars <= 1500")
 _matching("range_on_text", Range("source", gte=1.0), "false")
 _matching("range_date", Range("ts", gte=datetime(2024, 1, 5), lt=datetime(2024, 1, 10)), "ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-10'", "events", "event_id")
@@ -93,8 +96,13 @@ for _name, _string, _where in (
     ("parsed_compat_range", "n_chars:[500 TO 900}", "n_chars >= 500 AND n_chars < 900"),
     ("parsed_compat_prefix", "source:src1*", "starts_with(source, 'src1')"),
     ("parsed_compat_all", "", "true"),
+    ("parsed_compat_field", "lang:en", "contains(lang, 'en')"),
+    ("parsed_compat_phrase", '"of the"', f"doc_id IN (SELECT doc_id FROM ({_T}) WHERE {_phrase(['of', 'the'], 2)})"),
+    ("parsed_compat_wild_field", "source:s*c?", "regexp_matches(source, 's.*c.')"),
+    ("parsed_compat_bare_wildcard", "th*io", "regexp_matches(text, 'th.*io')"),
 ):
     _matching(_name, _parser.parse(_string), _where)
+_matching("parsed_compat_fuzzy", Parser(default_field="p_name").parse("blu~1"), _near.format(_bare, "blu", 1), "part", "p_partkey")
 _matching("parsed_extended", Parser(default_field="text", syntax="extended").parse('(lang:en OR lang:de) AND NOT source:src1* AND n_chars:[* TO 3000] AND "of the"'), f"(contains(lang, 'en') OR contains(lang, 'de')) AND NOT starts_with(source, 'src1') AND n_chars <= 3000 AND doc_id IN (SELECT doc_id FROM ({_T}) WHERE {_phrase(['of', 'the'], 2)})")
 
 
@@ -239,9 +247,18 @@ def _standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.explode(text.STANDARD(F.col("text"))).alias("t")).select("doc_id", "t.*")
 
 
-@register("vietnamese_tokens")
+_UW = "[\\p{L}\\p{M}\\p{N}_]+(?:[''’.·:][\\p{L}\\p{M}\\p{N}_]+)*"
+
+
+@register(
+    "vietnamese_tokens",
+    f"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(text, '{_UW}'), lambda w: strlen(w) <= 255) AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS w, unnest(range(0, len(w))) AS p FROM t)
+SELECT doc_id, lower(w) AS text, CAST(p AS INT) AS position, CAST(strlen(w) AS INT) AS length, 'word' AS token_type,
+  CAST(sum(strlen(w) + 1) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) - strlen(w) - 1 AS INT) AS token_offset FROM x""",
+)
 def _vietnamese(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.explode(text.VIETNAMESE(F.col("text"))).alias("t")).select("doc_id", "t.*")
+    return _docs(spark, sf_dir).select("doc_id", F.explode(text.VIETNAMESE(F.col("text"))).alias("t")).select("doc_id", "t.text", "t.position", "t.length", "t.token_type", F.col("t.offset").alias("token_offset"))
 
 
 # ranking
@@ -308,10 +325,29 @@ def _keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.after(rows, last["_score"], last["doc_id"], 10).withColumnRenamed("_score", "score") if last else rows.limit(0).withColumnRenamed("_score", "score")
 
 
-@register("explain_score")
+@register("explain_score", f"WITH {_MATCH} SELECT doc_id, round({_bm25_sql('thing')}, 6) AS score, round({_bm25_sql('thing')}, 6) AS value, 'bm25, sum of the parts' AS description, round({_idf_sql('thing')}, 6) AS part, 'idf(text:thing)' AS part_description FROM w WHERE {_has('thing')} ORDER BY score DESC, doc_id LIMIT 10")
 def _explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = search.scored(_docs(spark, sf_dir), Term("text", "thing"), search.DEBUG)
-    return search.top(rows, 10).select("doc_id", "_score", "_explanation")
+    rows = search.scored(_docs(spark, sf_dir), Term("text", "thing"), search.DEBUG).withColumn("_score", F.round("_score", 6))
+    best, detail = search.top(rows, 10), F.col("_explanation.details")[0]
+    return best.select("doc_id", F.col("_score").alias("score"), F.round("_explanation.value", 6).alias("value"), "_explanation.description", F.round(detail["value"], 6).alias("part"), detail["description"].alias("part_description"))
+
+
+@register("sort_on_field", "SELECT doc_id, n_chars FROM documents WHERE contains(lower(text), 'the') ORDER BY n_chars DESC, doc_id LIMIT 15")
+def _sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents")
+    return search.top(rows.where(scan.matches(_the, scan.Fields.of(rows.schema))), 15, sort=[F.col("n_chars").desc()]).select("doc_id", "n_chars")
+
+
+@register("intersect_all", f"SELECT doc_id FROM ({_T}) WHERE list_contains(w, 'the') AND list_contains(w, 'of') AND (list_contains(w, 'que') OR list_contains(w, 'in'))")
+def _intersect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _postings(spark, sf_dir)
+    return expand.intersect_all([expand.union(rows, ["the"]), expand.union(rows, ["of"]), expand.union(rows, ["que", "in"])])
+
+
+@register("array_scale", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 2.5)), 4) AS total FROM embeddings")
+def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scaled = arrays.scale(F.transform("embedding", lambda x: x.cast("double")), 2.5)
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
 @register("dot_product", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 4) AS norm FROM embeddings")
@@ -329,6 +365,27 @@ def _sorted_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # the store
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that all executors share; only a local session may do without one in its settings."""
+    have = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not have and not spark.sparkContext.master.startswith("local"):
+        raise InvalidState("spark.checkpoint.dir must name a folder that all executors share")
+    return have or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+
+
+_built: dict[tuple[str, str], object] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str):  # noqa: ANN202
+    """An index of the documents with its postings; built once a session and folder, as an index is there to be searched many times."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        ix = _store(spark, sf_dir)
+        ix.build_index()
+        _built[key] = ix
+    return _built[key]
+
+
 def _store(spark: SparkSession, sf_dir: str):  # noqa: ANN202
     """A new index of the documents, in the folder that the executors share."""
     import uuid
@@ -336,7 +393,7 @@ def _store(spark: SparkSession, sf_dir: str):  # noqa: ANN202
     from .schema import SearchSchema
     from .search_index import IndexConfig, SearchIndex
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    root = _shared(spark)
     schema = SearchSchema(default_analyzer="simple").with_text("text").with_text("lang").with_text("source").with_field("n_chars", "number")
     ix = SearchIndex.open(spark, f"{root}/store-{uuid.uuid4().hex}", schema, IndexConfig(parser=Parser(default_field="text")))
     ix.add(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
@@ -364,12 +421,79 @@ def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.store.docs().select("doc_id", "source")
 
 
-@register("compact_preserves", "SELECT doc_id, lang FROM documents WHERE source <> 'src3'")
+@register("compact_preserves", "SELECT doc_id, lang, source, 1 AS segments, 0 AS deletes FROM documents WHERE NOT contains(source, 'src3')")
 def _compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = _store(spark, sf_dir)
     ix.delete_by_query(Term("source", "src3"))
-    ix.compact()
-    return ix.store.docs().where("source <> 'src3'").select("doc_id", "lang")
+    m = ix.compact()
+    return ix.store.docs().select("doc_id", "lang", "source", F.lit(len(m.segments)).alias("segments"), F.lit(len(m.deletes)).alias("deletes"))
+
+
+@register("recover_after_crash", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'again' ELSE 'late' END AS source FROM documents WHERE lang = 'de' AND doc_id % 3 <> 0")
+def _recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adds, deletes and adds again of the German documents' ids, a flush, more of them, then a new process that recovers."""
+    from .schema import SearchSchema
+    from .search_index import IndexConfig, SearchIndex
+    from .sources.store import StoreConfig
+
+    import uuid
+
+    path, schema = f"{_shared(spark)}/store-{uuid.uuid4().hex}", SearchSchema().with_text("source")
+    config = IndexConfig(StoreConfig(log_sync="batch", log_batch=50, writer_batch_size=100_000))
+    ix = SearchIndex.open(spark, path, schema, config)
+    ids = sorted(r.doc_id for r in _table(spark, sf_dir, "documents").where("lang = 'de'").select("doc_id").collect())
+    for i in ids:
+        ix.add_document(doc_id=i, source="early")
+    ix.flush()
+    for i in ids:
+        ix.delete_document(i)
+        if i % 2 == 0:
+            ix.add_document(doc_id=i, source="again")
+        else:
+            ix.add_document(doc_id=i, source="lost")
+            ix.update_document(doc_id=i, source="late")
+        if i % 3 == 0:
+            ix.delete_document(i)
+    ix.store.log.flush()
+    again = SearchIndex.open(spark, path, schema, config)
+    again.recover()
+    again.recover()
+    return again.store.docs().select("doc_id", "source")
+
+
+@register("point_lookup", "SELECT doc_id, lang, source FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents)")
+def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ix = _store(spark, sf_dir)
+    last = _table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0]
+    return spark.createDataFrame([ix.store.snapshot().get(last)], ix.schema.struct()).select("doc_id", "lang", "source")
+
+
+# search over the stored index: analyzed words, no text is read
+
+
+def _by_index(name: str, q: Node, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _stored(spark, sf_dir).stored_index().matching(q)
+
+    QUERIES[name], ORACLE[name] = run, sql
+
+
+_by_index("stored_intersect", Bool(must=(_the, _of, _and)), f"SELECT doc_id FROM ({_T}) WHERE list_contains(w, 'the') AND list_contains(w, 'of') AND list_contains(w, 'and')")
+_by_index("stored_phrase", Phrase("text", ("of", "the")), f"SELECT doc_id FROM ({_T}) WHERE {_phrase(['of', 'the'], 2)}")
+_by_index("stored_prefix", Prefix("text", "then"), f"SELECT doc_id FROM ({_T}) WHERE len(list_filter(w, lambda t: starts_with(t, 'then'))) > 0")
+_by_index("stored_not", Bool(must=(_the,), must_not=(Term("text", "that"), Range("n_chars", lt=2000.0))), f"SELECT doc_id FROM (SELECT doc_id, n_chars, {_TOKENS('text')} AS w FROM documents) WHERE list_contains(w, 'the') AND NOT list_contains(w, 'that') AND n_chars >= 2000")
+
+
+@register("stored_bm25", f"WITH {_MATCH} SELECT doc_id, round({_bm25_sql('thing')} + {_bm25_sql('of')}, 6) AS score FROM w WHERE list_contains(ws, 'thing') AND list_contains(ws, 'of')")
+def _stored_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = Bool(must=(Term("text", "thing"), _of))
+    return _stored(spark, sf_dir).stored_index().scored(q, search.Config(match="index")).select("doc_id", F.round("_score", 6).alias("score"))
+
+
+@register("stored_top", f"WITH {_MATCH} SELECT doc_id, round({_bm25_sql('thing')}, 6) AS score, row_number() OVER (ORDER BY {_bm25_sql('thing')} DESC, doc_id) AS rank FROM w WHERE {_has('thing')} ORDER BY rank LIMIT 5")
+def _stored_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facade's search, by the stored index, without its result cache."""
+    return _stored(spark, sf_dir).search("thing", 5, config=search.Config(cache=False)).select("doc_id", F.round("_score", 6).alias("score"), F.col("_rank").alias("rank"))
 
 
 @register("snapshot_time_travel", "SELECT doc_id FROM documents")
@@ -406,8 +530,7 @@ def _streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources.store import DocumentStore
     from .streaming.ingest import ingest
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    base = f"{root}/stream-{uuid.uuid4().hex}"
+    base = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
     store = DocumentStore(spark, f"{base}/store", SearchSchema().with_text("kind").with_field("value", "number"))
     source = f"{sf_dir}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{sf_dir}/event[s].parquet")

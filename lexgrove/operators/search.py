@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument, UnsupportedQuery
@@ -33,6 +33,8 @@ class Config:
     #: "tokens" or, as an alternative, "tf"
     doc_length: str = "tokens"
     limits: Limits = Limits()
+    #: "scan" finds terms as parts of the text, "index" as analyzed words of a stored index
+    match: str = "scan"
     timeout_ms: int | None = None
 
 
@@ -66,11 +68,12 @@ def _frequency(analyzer: Analyzer, value: str, column: str) -> Column:
     return F.size(F.filter(F.col(column), lambda t: t.isin(wanted))).cast("double") if wanted else F.lit(0.0)
 
 
-def scored(docs: DataFrame, q: Node, config: Config = DEFAULT, default_fields: scan.Fields | None = None) -> DataFrame:
+def scored(docs: DataFrame, q: Node, config: Config = DEFAULT, default_fields: scan.Fields | None = None, known: dict | None = None) -> DataFrame:
     """All matching rows of ``docs`` with a score column (and explanation).
 
     Totals (documents, lengths, document frequencies) are taken over all documents
-    by one aggregation without a shuffle of rows.
+    by one aggregation without a shuffle of rows; ``known`` keeps them for further
+    queries of the same documents.
     """
     fields = default_fields or scan.Fields.of(docs.schema)
     q = validate(rewrite(q) if config.optimize else q, config.limits)
@@ -92,7 +95,9 @@ def scored(docs: DataFrame, q: Node, config: Config = DEFAULT, default_fields: s
     aggs = [F.count("*").alias("n")]
     aggs += [F.coalesce(F.sum(F.size(tokens[n])), F.lit(0)).alias(f"len_{tokens[n]}") for n in names]
     aggs += [F.count_if(tf[key] > 0).alias(f"df_{k}") for k, key in enumerate(wanted)]
-    stats = wide.agg(*aggs).first()
+    known = {} if known is None else known
+    totals = (tuple(names), tuple(wanted))
+    stats = known[totals] if totals in known else known.setdefault(totals, wide.agg(*aggs).first())
     n_docs = float(stats["n"])
     rows = wide.where(predicate)
     total, details = F.lit(0.0), []
@@ -163,6 +168,27 @@ def after(rows: DataFrame, score: float, doc_id: int, limit: int = 10) -> DataFr
     return top(rows.where((F.col("_score") < score) | ((F.col("_score") == score) & (F.col("doc_id") > doc_id))), limit)
 
 
+@dataclass
+class FirstMatches:
+    """A collector that has enough after so many hits."""
+
+    most: int
+    hits: list = field(default_factory=list)
+
+    def collect(self, hit: Row) -> bool:
+        """Whether to go on."""
+        self.hits.append(hit)
+        return len(self.hits) < self.most
+
+
+def collect_until(rows: DataFrame, collector) -> object:  # noqa: ANN001
+    """Offers hits one by one, partition by partition, until the collector has enough; later partitions aren't run."""
+    for hit in rows.toLocalIterator():
+        if not collector.collect(hit):
+            break
+    return collector
+
+
 def first_n(rows: DataFrame, n: int) -> DataFrame:
     """Any n rows: no sort, the scan stops early."""
     return rows.limit(n)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 import uuid
 from urllib.parse import urlparse
 
@@ -34,6 +35,15 @@ class Files:
     def size(self, name: str) -> int:
         return self._fs.getContentSummary(self._path(self.at(name))).getLength()
 
+    def age(self, name: str) -> float:
+        """Seconds since a file or folder was changed."""
+        return time.time() - self._fs.getFileStatus(self._path(self.at(name))).getModificationTime() / 1000
+
+    def free(self) -> tuple[int, int]:
+        """Bytes left and bytes in all of the file system."""
+        s = self._fs.getStatus(self._path(self.root))
+        return s.getRemaining(), s.getCapacity()
+
     def read(self, name: str) -> str:
         stream = self._fs.open(self._path(self.at(name)))
         try:

@@ -1,8 +1,8 @@
 """A versioned document store on Parquet.
 
 Layout: ``docs/<segment>`` (the schema's columns and ``__seq``), ``deletes/<id>``
-(doc_id, seq), ``_manifest/<version>.json``, ``_log/<number>.json``.  A version is
-a manifest: its segments and deletes.  Manifests are created, never changed; of two
+(doc_id, seq), ``_manifest/<version>.json``, ``_log/<first>-<last>.json``.  A version is
+a manifest: its segments and deletes, and the last logged operation that is in it.  Manifests are created, never changed; of two
 writers of a version one gets a conflict.  A delete at sequence s hides rows of
 lower sequence, so an update is a delete and an append in one manifest.
 """
@@ -10,18 +10,21 @@ lower sequence, so an update is a delete and an append in one manifest.
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import InvalidArgument, InvalidState, NotFound, OutOfMemory
+from ..errors import Conflict, InvalidArgument, InvalidState, NotFound, OutOfMemory
 from ..schema import SearchSchema
 from .files import Files
+from .log import Log
 from .merge import MergePolicy, Segment, Tiered
 
 SEQ = "__seq"
@@ -35,6 +38,19 @@ class StoreConfig:
     merge_policy: MergePolicy = field(default_factory=Tiered)
     memory_limit: int | None = None
     max_versions: int = 100
+    #: "immediate", "batch" or "none", and the entries of a batch
+    log_sync: str = "immediate"
+    log_batch: int = 100
+    #: seconds for which a folder of no version may belong to a write that isn't published yet
+    orphan_seconds: float = 86_400
+
+
+def codec(goal: str) -> str:
+    """Parquet's compression for a goal: "speed", "ratio" or "balanced"."""
+    known = {"speed": "lz4_raw", "ratio": "zstd", "balanced": "snappy"}
+    if goal not in known:
+        raise InvalidArgument(f"no goal of compression is {goal!r}")
+    return known[goal]
 
 
 @dataclass(frozen=True)
@@ -44,7 +60,20 @@ class Manifest:
     timestamp: float
     segments: tuple[Segment, ...] = ()
     deletes: tuple[str, ...] = ()
+    #: keys of batches that are in; of keys name:number the highest of each name
     batches: tuple[str, ...] = ()
+    applied: int = 0
+
+    def has_batch(self, key: str) -> bool:
+        name, _, number = key.rpartition(":")
+        return key in self.batches or (number.isdigit() and any(b.rpartition(":")[0] == name and int(b.rpartition(":")[2]) >= int(number) for b in self.batches if b.rpartition(":")[2].isdigit()))
+
+    def with_batch(self, key: str | None) -> tuple[str, ...]:
+        if key is None:
+            return self.batches
+        name, _, number = key.rpartition(":")
+        kept = [b for b in self.batches if not (number.isdigit() and b.rpartition(":")[0] == name and b.rpartition(":")[2].isdigit())]
+        return (*kept, key)
 
     def text(self) -> str:
         return json.dumps(asdict(self))
@@ -52,7 +81,7 @@ class Manifest:
     @staticmethod
     def of(text: str) -> Manifest:
         d = json.loads(text)
-        return Manifest(d["version"], d["seq"], d["timestamp"], tuple(Segment(**s) for s in d["segments"]), tuple(d["deletes"]), tuple(d["batches"]))
+        return Manifest(d["version"], d["seq"], d["timestamp"], tuple(Segment(**s) for s in d["segments"]), tuple(d["deletes"]), tuple(d["batches"]), d.get("applied", 0))
 
 
 class Snapshot:
@@ -98,13 +127,17 @@ class DocumentStore:
         self._deleted: list[int] = []
         self._bytes = 0
         self._pins: dict[int, int] = {}
-        self.corrupt_log_entries = 0
+        self.log = Log(self.files, config.log_sync, config.log_batch)
         if not self.versions():
             try:
                 self._publish(Manifest(0, 0, time.time()))
             except InvalidState:
                 pass  # another process opened the same new store
 
+    @property
+    def corrupt_log_entries(self) -> int:
+        return self.log.corrupt
+
     def raw_schema(self):  # noqa: ANN201
         from pyspark.sql import types as T
 
@@ -161,17 +194,16 @@ class DocumentStore:
         ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(seq).cast("long").alias("seq")).distinct().write.parquet(self.files.at(f"deletes/{name}"))
         return name
 
-    def apply(self, adds: Sequence[DataFrame] = (), deletes: Sequence[DataFrame] = (), batch: str | None = None, base: Manifest | None = None) -> Manifest:
-        """One new version: first the deletes, then the adds."""
+    def apply(self, adds: Sequence[DataFrame] = (), deletes: Sequence[DataFrame] = (), batch: str | None = None, base: Manifest | None = None, applied: int | None = None) -> Manifest:
+        """One new version: first the deletes, then the adds; ``applied``: the last logged operation that is in it."""
         m = base or self.manifest()
-        if batch is not None and batch in m.batches:
+        if batch is not None and m.has_batch(batch):
             return m
         seq = m.seq + 1
         gone = tuple(self._write_deletes(d, seq) for d in deletes)
         new = tuple(self._write_segment(d, seq) for d in adds)
         new = tuple(s for s in new if s.docs)
-        batches = (*m.batches, batch) if batch is not None else m.batches
-        return self._publish(Manifest(m.version + 1, seq, time.time(), (*m.segments, *new), (*m.deletes, *gone), batches[-1000:]))
+        return self._publish(Manifest(m.version + 1, seq, time.time(), (*m.segments, *new), (*m.deletes, *gone), m.with_batch(batch), m.applied if applied is None else applied))
 
     def append(self, df: DataFrame, batch: str | None = None) -> Manifest:
         return self.apply([df], batch=batch)
@@ -179,16 +211,21 @@ class DocumentStore:
     def delete(self, ids: DataFrame) -> Manifest:
         return self.apply(deletes=[ids])
 
+    def latest(self, df: DataFrame) -> DataFrame:
+        """One row of each id, the greatest as JSON where there are several."""
+        df = self.schema.conform(df)
+        row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        return df.groupBy("doc_id").agg(F.max_by(row, F.to_json(row)).alias("row")).select("row.*")
+
     def upsert(self, df: DataFrame) -> Manifest:
-        """Rows replace those of the same id; of several new ones any one stays."""
-        df = self.schema.conform(df).dropDuplicates(["doc_id"])
+        """Rows replace those of the same id; of several new ones the greatest as JSON stays."""
+        df = self.latest(df)
         return self.apply([df], [df.select("doc_id")])
 
     # single documents, buffered and logged
 
-    def _log(self, **entry: object) -> None:
-        number = len(self.files.names("_log"))
-        self.files.create(f"_log/{number:012d}.json", json.dumps(entry, default=str))
+    def _log(self, op: str, **what: object) -> None:
+        self.log.append(op, self.manifest().applied if self.log._next is None else 0, **what)
 
     def add_document(self, **values: object) -> None:
         size = len(json.dumps(values, default=str))
@@ -196,7 +233,7 @@ class DocumentStore:
             raise OutOfMemory(f"{size} bytes are over the ingest budget")
         if values.get("doc_id") is None:
             raise InvalidArgument("a document needs a doc_id")
-        self._log(op="add", row=values)
+        self._log("add", row=values)
         self._rows.append(values)
         self._bytes += size
         if len(self._rows) >= self.config.writer_batch_size:
@@ -204,7 +241,18 @@ class DocumentStore:
 
     def delete_document(self, doc_id: int) -> None:
         """Hides the id's rows that are flushed, and drops those that aren't."""
-        self._log(op="delete", doc_id=doc_id)
+        self._log("delete", doc_id=doc_id)
+        self._unbuffer(doc_id)
+
+    def update_document(self, **values: object) -> None:
+        """A delete and an add as one logged operation."""
+        if values.get("doc_id") is None:
+            raise InvalidArgument("a document needs a doc_id")
+        self._log("update", row=values)
+        self._unbuffer(values["doc_id"])  # type: ignore[arg-type]
+        self._rows.append(values)
+
+    def _unbuffer(self, doc_id: int) -> None:
         self._rows = [r for r in self._rows if r["doc_id"] != doc_id]
         self._deleted.append(doc_id)
 
@@ -218,6 +266,8 @@ class DocumentStore:
         kinds = {f.name: f.dataType for f in self.schema.struct().fields}
 
         def cell(name: str, v: object) -> object:
+            if isinstance(v, str) and isinstance(kinds[name], T.TimestampType):  # as the log has it
+                return datetime.fromisoformat(v)
             return float(v) if v is not None and isinstance(kinds[name], T.DoubleType) else v  # type: ignore[arg-type]
 
         return self.spark.createDataFrame([tuple(cell(n, r.get(n)) for n in names) for r in rows], self.schema.struct())
@@ -226,42 +276,35 @@ class DocumentStore:
         """A new version of what is buffered; none if nothing is."""
         if not self._rows and not self._deleted:
             return self.manifest()
+        self.log.flush()
         adds = [self._frame(self._rows)] if self._rows else []
         gone = [self.spark.createDataFrame([(i,) for i in self._deleted], "doc_id long")] if self._deleted else []
-        m = self.apply(adds, gone)
+        m = self.apply(adds, gone, applied=self.log.last())
         self._rows, self._deleted, self._bytes = [], [], 0
         return m
 
     def commit(self) -> Manifest:
+        """Flushes, and removes log files whose operations are all in a version."""
         m = self.flush()
-        self._log(op="commit", version=m.version)
+        self.log.drop(m.applied)
         return m
 
     def pending(self) -> list[dict]:
-        """Logged operations after the last commit."""
-        if not self.files.names("_log"):
-            return []
-        rows = self.spark.read.schema("op string, row string, doc_id long, version long, _corrupt_record string").option("mode", "PERMISSIVE").json(self.files.at("_log"))
-        rows = rows.withColumn("number", F.regexp_extract(F.input_file_name(), r"(\d+)\.json$", 1).cast("long")).cache()
-        try:
-            self.corrupt_log_entries = rows.where("_corrupt_record is not null or op is null").count()
-            last = rows.where("op = 'commit'").agg(F.max("number").alias("n")).first().n
-            tail = rows.where(f"op is not null and op <> 'commit' and number > {-1 if last is None else last}").orderBy("number").collect()
-        finally:
-            rows.unpersist()
-        return [{"op": r.op, "row": json.loads(r.row) if r.row else None, "doc_id": r.doc_id} for r in tail]
+        """Logged operations that no version has, in order."""
+        return self.log.behind(self.manifest().applied)
 
     def recover(self) -> int:
-        """Replays what was logged after the last commit and isn't in the buffer; the number of operations."""
+        """Replays the logged operations that no version has, each once and in order; their number."""
+        self.log.flush()
         tail = self.pending()
-        self._rows, self._deleted = [], []
-        present = {r.doc_id for r in self.docs().where(F.col("doc_id").isin([x["row"]["doc_id"] for x in tail if x["op"] == "add"])).select("doc_id").collect()} if tail else set()
+        self._rows, self._deleted, self._bytes = [], [], 0
         for x in tail:
-            if x["op"] == "add" and x["row"]["doc_id"] not in present:  # a flush without a commit may have written it
+            if x["op"] != "add":
+                self._unbuffer(x["doc_id"] if x["op"] == "delete" else x["row"]["doc_id"])
+            if x["op"] != "delete":
                 self._rows.append(x["row"])
-            elif x["op"] == "delete":
-                self._rows = [r for r in self._rows if r["doc_id"] != x["doc_id"]]
-                self._deleted.append(x["doc_id"])
+        self.log._next = None  # another process may have gone on
+        self.log.last(self.manifest().applied)
         self.commit()
         return len(tail)
 
@@ -272,7 +315,7 @@ class DocumentStore:
         m = self.manifest()
         rows = Snapshot(self, m).visible()
         s = self._write_segment(rows.coalesce(files) if files else rows, None)
-        return self._publish(Manifest(m.version + 1, m.seq, time.time(), (s,) if s.docs else (), (), m.batches))
+        return self._publish(Manifest(m.version + 1, m.seq, time.time(), (s,) if s.docs else (), (), m.batches, m.applied))
 
     def merge(self) -> Manifest:
         """Merges the segments that the policy picks; rows keep their sequence, deletes stay for the others."""
@@ -282,18 +325,52 @@ class DocumentStore:
             return m
         s = self._write_segment(Snapshot(self, m).visible(picked), None)
         rest = tuple(x for x in m.segments if x not in picked)
-        return self._publish(Manifest(m.version + 1, m.seq, time.time(), (*rest, s) if s.docs else rest, m.deletes, m.batches))
+        return self._publish(Manifest(m.version + 1, m.seq, time.time(), (*rest, s) if s.docs else rest, m.deletes, m.batches, m.applied))
 
     def vacuum(self, max_versions: int | None = None) -> list[int]:
-        """Removes old versions, never the last or a pinned one, and what no version has; the versions removed."""
+        """Removes old versions, never the last or a pinned one, and what only they had; the versions removed.
+
+        What no version ever had may be of a write that isn't published yet, so it stays for ``orphan_seconds``.
+        """
         keep = self.config.max_versions if max_versions is None else max_versions
         have = self.versions()
         gone = [v for v in have[: max(0, len(have) - max(keep, 1))] if not self._pins.get(v)]
         left = [self.manifest(v) for v in have if v not in gone]
+        dropped = [self.manifest(v) for v in gone]
         for v in gone:
             self.files.remove(f"_manifest/{v}.json")
-        for folder, used in (("docs", {s.id for m in left for s in m.segments}), ("deletes", {d for m in left for d in m.deletes})):
+            self.files.remove(f"postings/{v}")
+        for folder, names in (("docs", lambda m: {s.id for s in m.segments}), ("deletes", lambda m: set(m.deletes))):
+            used, once = (set().union(*map(names, ms)) for ms in (left, dropped))
             for name in self.files.names(folder):
-                if name not in used:
+                if name not in used and (name in once or self.files.age(f"{folder}/{name}") > self.config.orphan_seconds):
                     self.files.remove(f"{folder}/{name}")
         return gone
+
+
+class BackgroundMerge:
+    """Merges a store's segments every so many seconds, in a thread of its own; a lost race is tried again next time."""
+
+    def __init__(self, store: DocumentStore, seconds: float = 60.0):
+        self.store, self.seconds, self.merges, self.conflicts = store, seconds, 0, 0
+        self._stop = threading.Event()
+        self._thread = threading.Thread(target=self._run, daemon=True)
+
+    def once(self) -> None:
+        before = self.store.manifest().version
+        try:
+            self.merges += self.store.merge().version != before
+        except Conflict:
+            self.conflicts += 1
+
+    def _run(self) -> None:
+        while not self._stop.wait(self.seconds):
+            self.once()
+
+    def __enter__(self) -> BackgroundMerge:
+        self._thread.start()
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._stop.set()
+        self._thread.join()

@@ -3,7 +3,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from lexgrove.errors import Conflict, InvalidArgument, InvalidInput, InvalidState, NotFound, OutOfMemory, UnsupportedQuery
+from lexgrove.errors import Conflict, InvalidArgument, InvalidInput, InvalidState, NotFound, OutOfMemory, StorageError, UnsupportedQuery
 from lexgrove.operators import expand, index, search
 from lexgrove.operators.scoring import BM25
 from lexgrove.plans import scan
@@ -184,7 +184,44 @@ def test_recover(spark, ix):
     with open(f"{ix.store.files.local}/_log/999999999999.json", "w") as f:
         f.write("{broken")
     again.store.pending()
-    assert again.store.corrupt_log_entries == 1
+    assert again.store.corrupt_log_entries == 1 and again.health_check()["log"] == "degraded"
+
+
+def test_recovery_keeps_the_order(spark, tmp_path):
+    """A crash after any step: the store then holds what all operations so far give, one after another."""
+    schema = SearchSchema().with_text("content")
+    steps = [("add", 1, "a"), ("add", 2, "b"), ("flush",), ("delete", 1), ("add", 1, "new"), ("add", 2, "again"), ("update", 3, "c"), ("flush",), ("update", 2, "d"), ("commit",), ("delete", 3)]
+
+    def play(store, step):
+        if step[0] in ("flush", "commit"):
+            getattr(store, step[0])()
+        elif step[0] == "delete":
+            store.delete_document(step[1])
+        else:
+            getattr(store, f"{step[0]}_document")(doc_id=step[1], content=step[2])
+
+    want, rows = [], []
+    for step in steps:
+        if step[0] in ("delete", "update"):
+            rows = [r for r in rows if r[0] != step[1]]
+        if step[0] in ("add", "update"):
+            rows = [*rows, step[1:]]
+        want.append(sorted(rows))
+    for k in (1, 4, 5, 7, 8, 10):
+        path = f"{tmp_path}/{k}"
+        store = SearchIndex.open(spark, path, schema).store
+        for step in steps[: k + 1]:
+            play(store, step)
+        again = SearchIndex.open(spark, path, schema)
+        again.recover()
+        assert sorted((r.doc_id, r.content) for r in again.store.docs().collect()) == want[k], steps[: k + 1]
+        assert again.recover() == 0
+    batched = SearchIndex.open(spark, f"{tmp_path}/b", schema, IndexConfig(StoreConfig(log_sync="batch", log_batch=3)))
+    for k in range(7):
+        batched.add_document(doc_id=k, content="x")
+    assert len(batched.store.files.names("_log")) == 2
+    batched.commit()
+    assert batched.store.files.names("_log") == [] and batched.store.docs().count() == 7
 
 
 def test_budget_and_schema(spark, tmp_path):
@@ -285,11 +322,110 @@ def test_cluster(ix):
         Cluster(ix, 0)
 
 
-def test_stored_index(ix):
+def jobs(spark, f):
+    tracker = spark.sparkContext._jsc.sc().dagScheduler()
+    before = tracker.nextJobId()
+    f()
+    return tracker.nextJobId() - before
+
+
+def test_stored_index(ix, spark):
+    assert ix.index_parts()[0].count() == 0  # none yet
+    by_scan = {q: ix.search(q, 100).select("doc_id", F.round("_score", 9)).collect() for q in ("rust", "the AND fox", "price:[20 TO 60]")}
     ix.build_index()
+    ix.cache.clear()
     rows, terms, _ = ix.index_parts()
     assert terms.where("field = 'content' and term = 'fox'").first().doc_freq == 2
     assert rows.where("term = 'fox'").count() == 2
+    for q, want in by_scan.items():
+        assert ix.search(q, 100).select("doc_id", F.round("_score", 9)).collect() == want
+    words = search.Config(match="index")
+    for q, want in (
+        (Term("content", "RUST"), [1]),
+        (Term("_all", "fox"), [3, 5]),
+        (Phrase("content", ("quick", "fox"), 1), [3, 5]),
+        (Prefix("content", "RU"), [1, 3]),
+        (Wildcard("content", "f?x"), [3, 5]),
+        (Fuzzy("content", "ruste", 1), [1, 3]),
+        (Range("price", gt=25.0), [3]),
+        (Bool(must=(Term("content", "fox"),), must_not=(Term("title", "databases"),)), [5]),
+        (Bool(should=(Term("content", "rust"), Term("content", "fox"), Term("content", "quick")), minimum_should_match=2), [3, 5]),
+        (Bool(must_not=(Term("content", "fox"),)), [1, 2, 4]),
+        (MatchAll(), [1, 2, 3, 4, 5]),
+    ):
+        assert sorted(r.doc_id for r in ix.search(q, 100, config=words).collect()) == want, q
+        assert sorted(r.doc_id for r in ix.matches(q, config=words).collect()) == want, q
+    ix.index_reader.kept.clear()
+    lazy = ix.index_parts(strategy="lazy")[0].where("term = 'fox'")
+    assert "EqualTo(term,fox)" in lazy._jdf.queryExecution().executedPlan().toString()
+    assert ix.index_reader.kept.stats()["entries"] == 1
+
+
+def test_a_hit_starts_no_job(ix, spark):
+    ix.search("fox")
+    assert jobs(spark, lambda: ix.search("fox")) == 0 and ix.cache.hits == 1
+    assert jobs(spark, lambda: ix.search("rust")) > 0
+    ix.enable_low_memory_mode()
+    assert ix.is_low_memory_mode_enabled() and ix.cache.stats()["entries"] == 0
+    assert jobs(spark, lambda: ix.search("fox")) > 0
+
+
+def test_readers_and_managers(ix, spark):
+    import shutil
+
+    t = ix.transaction()
+    assert ix.transactions.stats() == {"total": 1, "active": 1, "preparing": 0} and ix.transactions.get(t.id) is t
+    t.rollback()
+    assert ix.transactions.cleanup() == 1 and ix.transactions.stats()["total"] == 0
+    ix.search("fox")
+    assert ix.stats()["readers"]["entries"] == 1
+    ix.add(spark.createDataFrame([(9, "lost")], "doc_id long, content string"))
+    gone = ix.store.manifest().segments[-1].id
+    shutil.rmtree(f"{ix.store.files.local}/docs/{gone}")
+    assert ix.health_check()["overall"] == "unhealthy"
+    with pytest.raises(StorageError):
+        ix.search("fox")
+    loose = SearchIndex.open(spark, ix.store.files.root, ix.schema, IndexConfig(skip_missing=True))
+    assert found(loose, "fox") == [3, 5] and loose.pool.failures == 1 and loose.health_check()["readers"] == "degraded"
+
+
+def test_collectors_stop(docs):
+    first = search.collect_until(docs.orderBy("doc_id"), search.FirstMatches(2))
+    assert [r.doc_id for r in first.hits] == [1, 2]
+
+
+def test_background_merge(ix, spark):
+    import time
+
+    from lexgrove.sources.store import BackgroundMerge, codec
+
+    for k in range(3):
+        ix.add(spark.createDataFrame([(100 + k, "merged")], "doc_id long, content string"))
+    before = ix.store.docs().count()
+    with BackgroundMerge(ix.store, 0.2) as m:
+        until = time.time() + 60
+        while not m.merges and time.time() < until:
+            time.sleep(0.2)
+    assert m.merges and len(ix.store.manifest().segments) == 1 and ix.store.docs().count() == before
+    assert codec("speed") == "lz4_raw"
+
+
+def test_orphans_stay_for_a_while(ix, spark):
+    name = f"{ix.store.files.local}/docs/unpublished"
+    spark.range(1).write.parquet(name)
+    ix.store.vacuum(1)
+    assert ix.store.files.exists("docs/unpublished")
+    ix.store.config = StoreConfig(orphan_seconds=-1)
+    ix.store.vacuum(1)
+    assert not ix.store.files.exists("docs/unpublished")
+
+
+def test_batches_are_never_forgotten(ix, spark):
+    one = spark.createDataFrame([(50, "x")], "doc_id long, content string")
+    for k in range(3):
+        ix.store.append(one, batch=f"s:{k}")
+    m = ix.store.manifest()
+    assert m.batches == ("s:2",) and ix.store.append(one, batch="s:0").version == m.version
 
 
 def test_streaming_is_idempotent(spark, tmp_path):
