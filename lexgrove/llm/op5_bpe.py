@@ -10,6 +10,9 @@ Encoding:
 3. The ids are joined back to their chunks, where the positions put each
    document's ids together.
 
+A task holds one batch of rows and the distinct words of its bucket, not their
+occurrences in all chunks.
+
 Decoding joins the ids with the token-byte table, a table of the vocabulary's
 fixed size, and joins each document's bytes in order.
 
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from . import pretok as P
-from .common import by_key, frugal, table
+from .common import by_key, frugal, table, whole_id
 
 #: Bytes of text in a chunk; one document may be longer.
 CHUNK = 8 << 20
@@ -125,33 +128,50 @@ def _words(buckets: int):
     return run
 
 
+class _Words:
+    """The words of a bucket that have been met, each encoded once."""
+
+    def __init__(self, vocab: P.Vocabulary):
+        self.vocab, self.known = vocab, {}
+        self.ids, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        new = [w for w in words if w not in self.known]
+        if new:
+            ids, bounds = self.vocab.encode(new)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.ids, self.bounds = np.concatenate([self.ids, ids]), np.concatenate([self.bounds, self.bounds[-1] + bounds[1:]])
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+
 def _encode(path: str):
-    """Where a bucket's words of all chunks meet: each distinct word is encoded once."""
+    """Where a bucket's words of all chunks meet, batch by batch: each distinct word is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = P.vocabulary(path)
-        for tab in by_key(batches, "key"):
-            keys = tab["key"].to_numpy()
-            cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                part = tab.slice(lo, hi - lo)
-                lengths = [_unpack(x, np.int32) for x in part["b"].to_pylist()]
-                data = np.concatenate([_unpack(x, np.uint8) for x in part["c"].to_pylist()])
-                ends = np.cumsum(np.concatenate(lengths), dtype=np.int64)
-                words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends]), pa.py_buffer(data)]).dictionary_encode()
-                number = words.indices.to_numpy()
-                ids, bounds = vocab.encode(words.dictionary.to_pylist())
-                at = 0
-                out = []
-                for x in lengths:
-                    own = number[at : at + len(x)]
-                    at += len(x)
-                    index, b = P.spans_index(bounds[own], bounds[own + 1])
-                    out.append((_pack(np.diff(b), np.int32), _pack(ids[index], np.int32)))
-                n = len(out)
-                for a in range(0, n, 256):
-                    some = out[a : a + 256]
-                    yield pa.record_batch([part["chunk"].combine_chunks().slice(a, len(some)), part["chunk"].combine_chunks().slice(a, len(some)), pa.array([0] * len(some), pa.int32()), pa.array(part["a"].slice(a, len(some)).to_pylist(), pa.binary()), pa.array([x for x, _ in some], pa.binary()), pa.array([y for _, y in some], pa.binary())], _NAMES)
+        bucket, met = None, _Words(vocab)
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for a in range(0, batch.num_rows, 256):
+                cuts = a + np.flatnonzero(np.r_[True, keys[a + 1 : a + 256] != keys[a : a + 255][: len(keys[a + 1 : a + 256])], True])
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    if keys[lo] != bucket:
+                        bucket, met = keys[lo], _Words(vocab)
+                    part = batch.slice(lo, hi - lo)
+                    lengths = [_unpack(x.as_py(), np.int32) for x in part.column(4)]
+                    data = np.concatenate([_unpack(x.as_py(), np.uint8) for x in part.column(5)])
+                    ends = np.cumsum(np.concatenate(lengths), dtype=np.int64)
+                    words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends]), pa.py_buffer(data)]).dictionary_encode()
+                    number = met.numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
+                    at, many, flat = 0, [], []
+                    for x in lengths:
+                        own = number[at : at + len(x)]
+                        at += len(x)
+                        index, b = P.spans_index(met.bounds[own], met.bounds[own + 1])
+                        many.append(_pack(np.diff(b), np.int32))
+                        flat.append(_pack(met.ids[index], np.int32))
+                    chunk = part.column(1)
+                    yield pa.record_batch([chunk, chunk, pa.array([0] * (hi - lo), pa.int32()), part.column(3), pa.array(many, pa.binary()), pa.array(flat, pa.binary())], _NAMES)
 
     return run
 
@@ -218,7 +238,7 @@ def encode(docs: DataFrame, ranks: str = P.RANKS, buckets: int | None = None) ->
     """
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    source = docs.select(whole_id().alias("doc_id"), "text").where("text is not null")
     words = source.mapInArrow(frugal(_words(buckets)), _PACKED)
     ids = words.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(frugal(_encode(ranks)), _PACKED)
     packed = ids.unionByName(source.mapInArrow(frugal(_positions), _PACKED))
@@ -227,34 +247,42 @@ def encode(docs: DataFrame, ranks: str = P.RANKS, buckets: int | None = None) ->
 
 
 def token_bytes(spark: SparkSession, ranks: str = P.RANKS) -> DataFrame:
-    """The token-byte table: token_id, bytes."""
+    """The token-byte table: token_id and bytes of every token of the vocabulary; it has no nulls and no repeated rows."""
     return spark.createDataFrame([(i, bytearray(t)) for t, i in P.vocabulary(ranks).ranks.items()], "token_id int, bytes binary")
 
 
 def decode(encoded: DataFrame, ranks: str = P.RANKS) -> DataFrame:
     """doc_id and text of rows with token_ids.
 
-    The table of token bytes, of the vocabulary's fixed size, is joined in the
-    executors.  Bytes that aren't UTF-8 become U+FFFD; null ids give a null text;
-    an id outside the vocabulary raises.
+    The token-byte table, of the vocabulary's fixed size, is broadcast and joined by id where
+    the documents are, a batch of ids at once; nothing is shuffled.  Bytes that aren't UTF-8 become
+    U+FFFD; null ids give a null text; an id outside the vocabulary raises.  A doc_id that is no whole number is
+    null; repeated rows are repeated; other columns aren't read; an empty table gives no row.
     """
+    spark = encoded.sparkSession
+    known = token_bytes(spark, ranks).orderBy("token_id").collect()  # as large as the vocabulary
+    index = np.full(known[-1].token_id + 2, -1, np.int64)
+    index[[r.token_id for r in known]] = np.arange(len(known))
+    joined = spark.sparkContext.broadcast((index, np.r_[0, np.cumsum([len(r.bytes) for r in known])], b"".join(bytes(r.bytes) for r in known)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = P.vocabulary(ranks)
+        index, bounds, raw = joined.value
+        raw = np.frombuffer(raw, np.uint8)
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
                 col = part.column(1)
                 ids = col.flatten().to_numpy(zero_copy_only=False)
-                if len(ids) and not (0 <= ids.min() and ids.max() < vocab.size):
+                row = index[np.clip(np.nan_to_num(ids, nan=-1), -1, len(index) - 1).astype(np.int64)]
+                if len(row) and row.min() < 0:
                     raise ValueError("a token id is outside the vocabulary")
                 many = np.array([len(x) if x is not None else 0 for x in col.to_pylist()], np.int64)
-                raw, bounds = vocab.decode(ids)
-                back, cut = raw.tobytes(), bounds[np.r_[0, np.cumsum(many)]]
+                at, own = P.spans_index(bounds[row], bounds[row + 1])
+                back, cut = raw[at].tobytes(), own[np.r_[0, np.cumsum(many)]]
                 texts = [None if not ok else back[p:q].decode("utf-8", "replace") for p, q, ok in zip(cut[:-1], cut[1:], col.is_valid().to_pylist(), strict=True)]
                 yield pa.record_batch([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("token_ids").cast("array<int>")).mapInArrow(frugal(run), "doc_id long, text string")
+    return encoded.select(whole_id().alias("doc_id"), F.col("token_ids").cast("array<int>")).mapInArrow(frugal(run), "doc_id long, text string")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
