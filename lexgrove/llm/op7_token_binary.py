@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from . import pretok as P
-from .common import frugal, table
+from .common import frugal, table, whole_id
 
 SAMPLE = 64
 #: A shard is closed once it has so many ids; a single document may be longer.
@@ -155,7 +155,33 @@ def shards(docs: DataFrame, ranks: str = P.RANKS, shard_tokens: int = SHARD_TOKE
     """
     if shard_tokens < 1:
         raise ValueError("a shard has one id at least")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(frugal(_shards(ranks, shard_tokens)), SCHEMA)
+    return docs.select(whole_id().alias("doc_id"), "text").where("text is not null").mapInArrow(frugal(_shards(ranks, shard_tokens)), SCHEMA)
+
+
+def save(docs: DataFrame, path: str, ranks: str = P.RANKS, shard_tokens: int = SHARD_TOKENS, ordered: bool = False) -> None:
+    """Writes shards to a folder of any file system, a Parquet row a shard; what is there is replaced.
+
+    Columns of ids aren't compressed, so a reader maps them as they are.  Shards follow
+    the input's partitions; ``ordered`` sorts documents by doc_id first, which shuffles
+    the texts, so that shards don't depend on how the input was split.  Nulls and
+    repeated rows are treated as in ``shards``.
+    """
+    if ordered:
+        docs = docs.select(whole_id().alias("doc_id"), "text").orderBy("doc_id", "text")
+    shards(docs, ranks, shard_tokens).write.mode("overwrite").option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The shards of a folder."""
+    return spark.read.schema(SCHEMA).parquet(path)
+
+
+def tokens(saved: DataFrame, doc_id: int) -> list[np.ndarray]:
+    """The ids of each document of that number, by two selects in its shard."""
+    out = []
+    for r in saved.where(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).toLocalIterator():
+        out += [document(r, k) for k, i in enumerate(r["doc_ids"]) if i == doc_id]
+    return out
 
 
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
