@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import frugal, table
+from .common import frugal, table, whole_id
 
 #: Words of the shortest repeat that counts; most covered share of the words; most words of a repeat.
 LEAST, MOST_COVERED, MOST_REPEAT = 6, 0.85, 30
@@ -162,12 +162,13 @@ def scores(docs: DataFrame, least: int = LEAST) -> DataFrame:
     A word is a run of letters, digits and non-ASCII characters, without case.
     Empty texts, and texts without a repeat of ``least`` words, have 0 for the first two
     measures; again_fraction counts runs of AGAIN words or more.
-    Rows with a null text are left out; a null doc_id stays null.  Repeated rows
-    give repeated results.  Only doc_id and text are read.
+    Rows with a null text are left out; a doc_id that is null or no whole number is null.  Repeated rows
+    give repeated results.  Only doc_id and text are read.  Words are compared by 64-bit hashes
+    within their document.
     """
     if least < 1:
         raise ValueError("least must be 1 or more")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(frugal(_run(least)), SCHEMA)
+    return docs.select(whole_id().alias("doc_id"), "text").where("text is not null").mapInArrow(frugal(_run(least)), SCHEMA)
 
 
 def _passes(most_covered: float, most_repeat: int, most_again: float = MOST_AGAIN) -> F.Column:
@@ -177,7 +178,8 @@ def _passes(most_covered: float, most_repeat: int, most_again: float = MOST_AGAI
 def keep_rows(docs: DataFrame, least: int = LEAST, most_covered: float = MOST_COVERED, most_repeat: int = MOST_REPEAT, most_again: float = MOST_AGAIN) -> DataFrame:
     """The rows of ``docs``, with all their columns, that pass the limits; no shuffle.
 
-    A null text has no repetition and passes.
+    A null text has no repetition and passes, so does an empty one.  Repeated rows are
+    judged alike; other columns are kept whatever their names; an empty table stays empty.
     """
 
 

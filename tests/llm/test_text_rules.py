@@ -39,7 +39,7 @@ def test_repetition(texts, least):
 
 
 def test_repetition_rows(odd, empty, frame):
-    assert R.scores(odd).count() == 10 and R.scores(empty).count() == 0
+    assert R.scores(odd).count() == 13 and R.scores(empty).count() == 0
     kept = R.keep_rows(odd)
     assert kept.columns == odd.columns and kept.count() == odd.count()
     rows = [(1, "spam and eggs for all of you " * 40), (2, " ".join(f"w{k}" for k in range(500))), (3, "one two three four five six\nx\none two three four five six")]

@@ -44,7 +44,7 @@ def test_bpe(spark, sf, vocab):
 
 def test_bpe_of_odd_rows(spark, odd, empty, vocab):
     got = sorted(op5_bpe.encode(odd).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
-    assert [r.doc_id for r in got] == [1, 2, 3, 4, 6, 7, 8, 8, 9, None] and all(r.round_trip for r in got)
+    assert [r.doc_id for r in got] == [1, 2, 3, 4, 6, 7, 8, 8, 9, 10, 10, 11, None] and all(r.round_trip for r in got)
     assert [r.n_tokens for r in got if r.doc_id in (3, 4)] == [0, 0]
     assert op5_bpe.encode(empty).count() == 0
     with pytest.raises(Exception, match="outside the vocabulary"):
@@ -52,6 +52,24 @@ def test_bpe_of_odd_rows(spark, odd, empty, vocab):
     assert op5_bpe.decode(spark.createDataFrame([(1, None), (2, [])], "doc_id long, token_ids array<int>")).orderBy("doc_id").collect() == [(1, None), (2, "")]
 
 
+def test_bytes_that_are_no_text(spark, vocab):
+    by = {t: i for t, i in vocab.ranks.items()}
+    odd = spark.createDataFrame([(1, [by[b"\xc3"], by[b"a"]]), (1, [by[b"\xc3"], by[b"\xa9"]])], "doc_id long, token_ids array<int>, x int".replace(", x int", ""))
+    assert sorted(r.text for r in op5_bpe.decode(odd).collect()) == ["\u00e9", "\ufffda"]
+
+
+def test_words_are_encoded_once(vocab, monkeypatch):
+    """A bucket's words over many small batches."""
+    calls = []
+    words = op5_bpe._Words(vocab)
+    encode = vocab.encode
+    monkeypatch.setattr(vocab, "encode", lambda ws: (calls.extend(ws), encode(ws))[1])
+    for some in ([b"ab", b"cd"], [b"cd", b"xyzzy"], [b"ab", b"xyzzy"]):
+        n = words.numbers(some)
+        assert [words.ids[words.bounds[k] : words.bounds[k + 1]].tolist() for k in n] == [vocab.coder.encode_ordinary(w.decode()) for w in some]
+    assert calls == [b"ab", b"cd", b"xyzzy"]
+
+
 def test_varints():
     x = np.array([0, 1, 127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28 - 1])
     assert op5_bpe._from_varint(op5_bpe._varint(x)).tolist() == x.tolist()
@@ -85,10 +103,25 @@ def test_shards(spark, sf, vocab, size, odd, empty):
             assert document(r, k).tolist() == vocab.coder.encode_ordinary(texts[i])
             seen.append(i)
     assert sorted(seen) == sorted(texts)
-    assert sum(r.n_docs for r in op7_token_binary.shards(odd, shard_tokens=size).collect()) == 10
+    assert sum(r.n_docs for r in op7_token_binary.shards(odd, shard_tokens=size).collect()) == 13
     assert op7_token_binary.shards(empty).count() == 0
 
 
+def test_saved_shards(spark, sf, vocab, tmp_path, odd):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one = None
+    for parts in (1, 3):
+        op7_token_binary.save(docs.repartition(parts), f"{tmp_path}/s", shard_tokens=5000, ordered=True)
+        saved = op7_token_binary.load(spark, f"{tmp_path}/s")
+        rows = [(r.doc_ids, bytes(r.ids)) for r in saved.orderBy("part", "shard").collect()]
+        one = rows if one is None else one
+        assert rows == one
+    for r in docs.limit(5).collect():
+        assert [x.tolist() for x in op7_token_binary.tokens(saved, r.doc_id)] == [vocab.coder.encode_ordinary(r.text)]
+    op7_token_binary.save(odd, f"{tmp_path}/o")
+    assert len(op7_token_binary.tokens(op7_token_binary.load(spark, f"{tmp_path}/o"), 8)) == 2
+
+
 def test_suffix_tree(spark, sf, odd, empty):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(40).collect()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -97,9 +130,9 @@ def test_suffix_tree(spark, sf, odd, empty):
     want = op9_suffix_tree_lm.brute_force([r.text for r in rows], [r.text for r in rows])
     assert all(abs(got[r.doc_id] - w) < 1e-6 * w for r, w in zip(rows, want, strict=True))
     assert len({r.depth for r in states.collect()}) > 3
-    assert op9_suffix_tree_lm.score(odd, states).count() == 10
+    assert op9_suffix_tree_lm.score(odd, states).count() == 13
     blank = op9_suffix_tree_lm.train(empty)
-    assert blank.count() == 1 and op9_suffix_tree_lm.score(odd, blank).count() == 10 and op9_suffix_tree_lm.score(empty, blank).count() == 0
+    assert blank.count() == 1 and op9_suffix_tree_lm.score(odd, blank).count() == 13 and op9_suffix_tree_lm.score(empty, blank).count() == 0
 
 
 def test_suffix_tree_holds_out(spark, sf):
