@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexgrove.llm import op1_repetition, op5_bpe, op6_ngram_join, op8_radix_dedup, op10_mixing
-from lexgrove.llm.common import table, written
+from lexgrove.llm.common import held, release, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The token ids of the documents that all stages keep; tables of earlier stages are removed as it goes."""
+    docs, before = table(spark, sf_dir, "documents"), held()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, keep=docs, since=before)
     return docs
