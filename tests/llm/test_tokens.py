@@ -214,49 +214,81 @@ def test_mix_is_seeded(spark, sf):
     assert rows("a") == rows("a") != rows("b")
 
 
+def _quality(text):
+    """Covered share, longest repeat and share of words there again, from the places of equal runs of words."""
+    import re
+
+    w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower())
+    n, covered, longest, again, places, seen = len(w), set(), 0, set(), {}, set()
+    for i in range(n - 5):
+        places.setdefault(tuple(w[i : i + 6]), []).append(i)
+    for at in places.values():
+        for i in at if len(at) > 1 else ():
+            k = 0
+            for j in at:
+                m = 0
+                while i != j and max(i, j) + m < n and w[i + m] == w[j + m]:
+                    m += 1
+                k = max(k, m)
+            covered |= set(range(i, i + k))
+            longest = max(longest, k)
+    for i in range(n - 1):
+        again |= {i, i + 1} if (w[i], w[i + 1]) in seen else set()
+        seen.add((w[i], w[i + 1]))
+    return len(covered) / max(n, 1), longest, len(again) / max(n, 1)
+
+
 def test_pipeline(spark, sf, vocab):
-    """Against a straightforward version of all stages."""
+    """Against a straightforward version of all stages that uses none of the operators; the mix is that of the SQL."""
     import importlib.util
     import sys
     from pathlib import Path
 
+    import duckdb
+
     sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
     if importlib.util.find_spec("corpus_pipeline") is None:
         pytest.skip("no pipeline here")
     import corpus_pipeline
-    from test_pairs import brute
-    from test_text_rules import repetition
+    from test_pairs import brute, classes
 
-    from lexgrove.llm import op1_repetition
+    from lexgrove.llm.common import held, release
 
     rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
-    kept = []
-    for r in rows:
-        n, covered, longest = repetition(r.text, op1_repetition.LEAST) if r.n_chars < 3000 else (1, 0, 0)
-        if r.n_chars >= 3000:
-            data, off = B.buffers(pa.array([r.text]))
-            h, _, _, row = B.words(data, off)
-            n, covered, longest = (int(x[0]) for x in op1_repetition.measure(h, row, 1))
-        if covered / max(n, 1) <= op1_repetition.MOST_COVERED and longest <= op1_repetition.MOST_REPEAT:
-            kept.append(r)
+    kept = [r for r in rows if (q := _quality(r.text)) and q[0] <= 0.85 and q[1] <= 30 and q[2] <= 0.5]
+    assert 0 < len(kept) < len(rows)
     texts, unique = set(), []
     for r in kept:
         if r.text not in texts:
             texts.add(r.text)
             unique.append(r)
-    head = {r.doc_id: r.doc_id for r in unique}
-
-    def find(i):
-        while head[i] != i:
-            i = head[i]
-        return i
-
-    for a, b in brute([(r.doc_id, r.text) for r in unique], 0.5):
-        x, y = sorted((find(a), find(b)))
-        head[y] = x
-    unique = [r for r in unique if find(r.doc_id) == r.doc_id]
-    taken = op10_mixing.mix(spark.createDataFrame(unique))
-    want = sorted((r.doc_id, *vocab.coder.encode_ordinary({x.doc_id: x.text for x in unique}[r.doc_id])) for r in taken.collect())
-    got = sorted((r.doc_id, *r.token_ids) for r in corpus_pipeline.run(spark, sf).collect())
-    assert got == want
+    gone = {i for i, least, _ in classes(brute([(r.doc_id, r.text) for r in unique], 0.5)) if i != least}
+    unique = {r.doc_id: r for r in unique if r.doc_id not in gone}
+    documents = pa.table({c: [r[c] for r in unique.values()] for c in rows[0].asDict()})
+    taken = duckdb.connect().register("documents", documents).sql(op10_mixing.SQL["op10_mixing"]).select("doc_id").fetchall()
+    want = sorted((i, *vocab.coder.encode_ordinary(unique[i].text)) for (i,) in taken)
+    before = held()
+    out = corpus_pipeline.run(spark, sf)
+    assert sorted((r.doc_id, *r.token_ids) for r in out.collect()) == want
+    assert held() - before == {out.written_path}
+    release(spark, since=before)
+    assert held() == before
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_nothing_is_left_in_the_shared_folder(spark, frame, sf):
+    """What an operator wrote goes once its result is stored."""
+    import os
+
+    from lexgrove.llm import op6_ngram_join, op8_radix_dedup
+    from lexgrove.llm.common import release, shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+    release(spark)
+    before = set(os.listdir(folder))
+    docs = frame([(k, f"one two three four five {k % 3}", "en", "src1") for k in range(9)])
+    for op in (op8_radix_dedup.copies, op8_radix_dedup.drop_copies, op6_ngram_join.near_classes, op10_mixing.mix):
+        op(docs).write.format("noop").mode("overwrite").save()
+        release(spark)
+        assert set(os.listdir(folder)) == before
