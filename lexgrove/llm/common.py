@@ -63,6 +63,14 @@ def discard(*tables: DataFrame | None) -> None:
             _remove(t.sparkSession, t.written_path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more, rather than at the driver's next collection."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession, keep: DataFrame | None = None, since: frozenset[str] = frozenset()) -> None:
     """Removes all tables written after ``since`` was taken by ``held``, but for ``keep``: for when results have been stored."""
     for path in _paths - since - {getattr(keep, "written_path", None)}:
