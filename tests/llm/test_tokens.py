@@ -167,6 +167,22 @@ def test_suffix_tree_has_no_cap(spark):
     assert max(r.depth for r in tree.select("depth").distinct().collect()) > 5  # contexts of five symbols
 
 
+def test_suffix_tree_in_buckets(spark, odd, empty, sf):
+    """Scores without a table of states are those with one, with and without large contexts and contexts beyond the subtrees."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(40).collect()
+    rows += [(1000 + k, f"a a a a a a b w{k % 7}") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = op9_suffix_tree_lm.brute_force([r[1] for r in rows], [r[1] for r in rows])
+    for large, bucket in ((1 << 21, 1 << 20), (300, 2000)):
+        got = {r.doc_id: r for r in op9_suffix_tree_lm.train_and_score(docs, large=large, bucket=bucket).collect()}
+        assert [got[r[0]].bits for r in rows] == pytest.approx(want)
+    plain = op9_suffix_tree_lm.score(odd, op9_suffix_tree_lm.train(odd)).collect()
+    key = lambda r: (r.doc_id or 0, r.n_symbols, r.bits)
+    for got, w in zip(sorted(op9_suffix_tree_lm.train_and_score(odd, large=100).collect(), key=key), sorted(plain, key=key), strict=True):
+        assert got.doc_id == w.doc_id and got.n_symbols == w.n_symbols and got.bits == pytest.approx(w.bits)
+    assert op9_suffix_tree_lm.train_and_score(empty).count() == 0
+
+
 def test_mix_matches_sql(spark, sf, same):
     same(op10_mixing.op10_mixing(spark, sf), op10_mixing.SQL["op10_mixing"])
 
