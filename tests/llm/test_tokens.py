@@ -183,6 +183,34 @@ def test_suffix_tree_in_buckets(spark, odd, empty, sf):
     assert op9_suffix_tree_lm.train_and_score(empty).count() == 0
 
 
+def test_suffix_tree_reads_texts_twice(spark):
+    """Deep contexts are grown from the corpus in numbers, not from the texts level by level."""
+    rows = [(k, "a a a a a a b c d e f g a b " * (k % 7 + 1) + f"w{k % 7}") for k in range(300)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    got = {r.doc_id: r.bits for r in op9_suffix_tree_lm.train_and_score(docs, large=200, bucket=500).collect()}
+    assert [got[k] for k, _ in rows] == pytest.approx(op9_suffix_tree_lm.brute_force([t for _, t in rows], [t for _, t in rows]))
+    assert read.value <= 3 * len(rows)  # once more if their number is asked for
+
+
+def test_least_occurrences():
+    """Fewer occurrences than the least give no gain that passes, as many give one at best."""
+    for most in (5.0, 12.0, 19.0, 25.0):
+        least = op9_suffix_tree_lm._least(4.0, most, 12.0)
+        for m in range(1, 60):
+            up = min(m / np.exp(most), 0.99)
+            p = (m + 4 * up) / (m + 4)
+            gain = m * (p * np.log(p / up) + (1 - p) * np.log(4 / (m + 4)))
+            assert gain <= 12 or m >= least
+    assert op9_suffix_tree_lm._least(4.0, 19.0, 12.0) == 3
+
+
 def test_mix_matches_sql(spark, sf, same):
     same(op10_mixing.op10_mixing(spark, sf), op10_mixing.SQL["op10_mixing"])
 
