@@ -28,6 +28,11 @@ class Files:
         return self._fs.exists(self._path(self.at(name)))
 
     def names(self, folder: str) -> list[str]:
+        if self.local is not None:
+            try:
+                return sorted(n for n in os.listdir(f"{self.local}/{folder}") if not n.startswith("."))
+            except FileNotFoundError:
+                return []
         if not self.exists(folder):
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.at(folder))) if not s.getPath().getName().startswith("."))
@@ -45,6 +50,9 @@ class Files:
         return s.getRemaining(), s.getCapacity()
 
     def read(self, name: str) -> str:
+        if self.local is not None:
+            with open(f"{self.local}/{name}", encoding="utf-8", errors="replace", newline="") as f:
+                return f.read()
         stream = self._fs.open(self._path(self.at(name)))
         try:
             return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -80,4 +88,7 @@ class Files:
             out.close()
 
     def remove(self, name: str) -> None:
+        if self.local is not None and os.path.isfile(f"{self.local}/{name}"):
+            os.unlink(f"{self.local}/{name}")
+            return
         self._fs.delete(self._path(self.at(name)), True)

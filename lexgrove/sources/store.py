@@ -123,9 +123,7 @@ class Snapshot:
 class DocumentStore:
     def __init__(self, spark: SparkSession, path: str, schema: SearchSchema, config: StoreConfig = StoreConfig()):  # noqa: B008
         self.spark, self.files, self.schema, self.config = spark, Files(spark, path), schema, config
-        self._rows: list[dict] = []
-        self._deleted: list[int] = []
-        self._bytes = 0
+        self._empty()
         self._pins: dict[int, int] = {}
         self.log = Log(self.files, config.log_sync, config.log_batch)
         if not self.versions():
@@ -224,6 +222,27 @@ class DocumentStore:
 
     # single documents, buffered and logged
 
+    def _empty(self) -> None:
+        """Nothing is buffered: rows by a running number, the numbers of each id, the ids deleted."""
+        self._rows: dict[int, dict] = {}
+        self._numbers: dict[int, list[int]] = {}
+        self._deleted: dict[int, None] = {}
+        self._bytes = self._added = 0
+
+    def _buffer(self, row: dict) -> None:
+        self._added += 1
+        self._rows[self._added] = row
+        self._numbers.setdefault(row["doc_id"], []).append(self._added)
+
+    def _unbuffer(self, doc_id: int) -> None:
+        for k in self._numbers.pop(doc_id, ()):
+            del self._rows[k]
+        self._deleted[doc_id] = None
+
+    def _flush_if_full(self) -> None:
+        if max(len(self._rows), len(self._deleted)) >= self.config.writer_batch_size:
+            self.flush()
+
     def _log(self, op: str, **what: object) -> None:
         self.log.append(op, self.manifest().applied if self.log._next is None else 0, **what)
 
@@ -234,15 +253,15 @@ class DocumentStore:
         if values.get("doc_id") is None:
             raise InvalidArgument("a document needs a doc_id")
         self._log("add", row=values)
-        self._rows.append(values)
+        self._buffer(values)
         self._bytes += size
-        if len(self._rows) >= self.config.writer_batch_size:
-            self.flush()
+        self._flush_if_full()
 
     def delete_document(self, doc_id: int) -> None:
         """Hides the id's rows that are flushed, and drops those that aren't."""
         self._log("delete", doc_id=doc_id)
         self._unbuffer(doc_id)
+        self._flush_if_full()
 
     def update_document(self, **values: object) -> None:
         """A delete and an add as one logged operation."""
@@ -250,11 +269,8 @@ class DocumentStore:
             raise InvalidArgument("a document needs a doc_id")
         self._log("update", row=values)
         self._unbuffer(values["doc_id"])  # type: ignore[arg-type]
-        self._rows.append(values)
-
-    def _unbuffer(self, doc_id: int) -> None:
-        self._rows = [r for r in self._rows if r["doc_id"] != doc_id]
-        self._deleted.append(doc_id)
+        self._buffer(values)
+        self._flush_if_full()
 
     def _frame(self, rows: list[dict]) -> DataFrame:
         names = self.schema.struct().fieldNames()
@@ -277,10 +293,10 @@ class DocumentStore:
         if not self._rows and not self._deleted:
             return self.manifest()
         self.log.flush()
-        adds = [self._frame(self._rows)] if self._rows else []
+        adds = [self._frame(list(self._rows.values()))] if self._rows else []
         gone = [self.spark.createDataFrame([(i,) for i in self._deleted], "doc_id long")] if self._deleted else []
         m = self.apply(adds, gone, applied=self.log.last())
-        self._rows, self._deleted, self._bytes = [], [], 0
+        self._empty()
         return m
 
     def commit(self) -> Manifest:
@@ -297,12 +313,12 @@ class DocumentStore:
         """Replays the logged operations that no version has, each once and in order; their number."""
         self.log.flush()
         tail = self.pending()
-        self._rows, self._deleted, self._bytes = [], [], 0
+        self._empty()
         for x in tail:
             if x["op"] != "add":
                 self._unbuffer(x["doc_id"] if x["op"] == "delete" else x["row"]["doc_id"])
             if x["op"] != "delete":
-                self._rows.append(x["row"])
+                self._buffer(x["row"])
         self.log._next = None  # another process may have gone on
         self.log.last(self.manifest().applied)
         self.commit()

@@ -224,6 +224,46 @@ def test_recovery_keeps_the_order(spark, tmp_path):
     assert batched.store.files.names("_log") == [] and batched.store.docs().count() == 7
 
 
+def test_buffered_rows_are_found_by_id(spark, tmp_path):
+    """Deletes and updates of buffered documents, and their replay, don't look through the buffer."""
+    compared = [0]
+
+    class Id(int):
+        __hash__ = int.__hash__
+
+        def __eq__(self, other):
+            compared[0] += 1
+            return int(self) == int(other)
+
+        def __ne__(self, other):
+            return not self == other
+
+    config = IndexConfig(StoreConfig(log_sync="none", writer_batch_size=10_000))
+    ix = SearchIndex.open(spark, f"{tmp_path}/d", SearchSchema().with_text("content"), config)
+    for k in range(500):
+        ix.add_document(doc_id=Id(k), content="first")
+        ix.add_document(doc_id=Id(k), content="second")
+    for k in range(0, 500, 2):
+        ix.delete_document(Id(k))
+        ix.delete_document(Id(k))
+        ix.update_document(doc_id=Id(k + 1), content="third")
+    assert compared[0] < 10_000 and [r["content"] for r in ix.store._rows.values()] == ["third"] * 250
+    ix.store.log.flush()
+    again = SearchIndex.open(spark, f"{tmp_path}/d", ix.schema, config)
+    assert again.recover() == 1750
+    assert sorted((r.doc_id, r.content) for r in again.store.docs().collect()) == [(k, "third") for k in range(1, 500, 2)]
+
+
+def test_updates_and_deletes_fill_the_buffer(spark, tmp_path):
+    ix = SearchIndex.open(spark, f"{tmp_path}/e", SearchSchema().with_text("content"), IndexConfig(StoreConfig(writer_batch_size=2)))
+    for k in range(3):
+        ix.update_document(doc_id=k, content="x")
+    assert ix.store.docs().count() == 2 and len(ix.store._rows) == 1
+    ix.delete_document(0)
+    ix.delete_document(1)
+    assert ix.store.docs().count() == 2 and list(ix.store._deleted) == [1]
+
+
 def test_budget_and_schema(spark, tmp_path):
     ix = SearchIndex.open(spark, f"{tmp_path}/b", SearchSchema().with_text("content"), IndexConfig(StoreConfig(memory_limit=64)))
     with pytest.raises(OutOfMemory):
