@@ -1,12 +1,12 @@
 """The inverted index as DataFrames: postings, dictionary, document lengths and totals.
 
-Postings are rows (field, term, doc_id, tf, positions, field_norm), built by one
-shuffle on (doc_id, term), whose keys are as many as the result's rows.
+Postings are rows (field, term, doc_id, tf, positions, field_norm).  A document's tokens
+are grouped within its row, so nothing is shuffled but the rows of ids that come again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,18 +16,49 @@ from ..functions.text import SIMPLE, Analyzer
 POSTINGS = "field string, term string, doc_id long, tf long, positions array<int>, field_norm double"
 
 
+def by_term(tokens: Column) -> Column:
+    """Tokens of text and position as structs of term, rising positions and the number of all tokens, ordered by term."""
+
+    def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+        """``body`` of a value that is worked out once, not once an element."""
+        return F.transform(F.array(value), body)[0]
+
+    def runs(found: Column, starts: Column) -> Column:
+        def run(at: Column, k: Column) -> Column:
+            upto = F.coalesce(F.get(starts, k + 1), F.size(found))
+            return F.struct(F.get(found, at)["text"].alias("term"), F.slice(found, at + 1, upto - at)["position"].alias("positions"), F.size(found).alias("n"))
+
+        return F.transform(starts, run)
+
+    def starts_of(found: Column) -> Column:
+        at = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(at, lambda i: ~F.get(found, i)["text"].eqNullSafe(F.get(found, i - 1)["text"]))
+
+    return bound(F.sort_array(tokens), lambda found: bound(starts_of(found), lambda starts: runs(found, starts)))
+
+
 def postings(docs: DataFrame, fields: Iterable[str], analyzers: dict[str, Analyzer] | None = None, default: Analyzer = SIMPLE, id_column: str = "doc_id") -> DataFrame:
     """Postings of the given text fields; positions rise within a row.
 
-    Frequencies are counted apart from positions, so a reader of frequencies alone
-    has no lists built: Catalyst drops the unused aggregate.
+    Rows of one id and length count together.  Whether any id comes again is asked first,
+    by a job that reads ids alone; only the postings of such ids are shuffled.
     """
+    key = F.col(id_column).cast("long")
+    repeated = docs.groupBy(key.alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
+    again = not repeated.isEmpty()
     parts = []
     for name in sorted(fields):
         analyzer = (analyzers or {}).get(name, default)
-        tokens = docs.select(F.col(id_column).cast("long").alias("doc_id"), analyzer.placed(F.col(f"`{name}`")).alias("tokens")).where(F.size("tokens") > 0)
-        tokens = tokens.select("doc_id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
-        rows = tokens.groupBy("doc_id", "n", F.col("t.text").alias("term")).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("t.position")).alias("positions"))
+
+        def of(rows: DataFrame, name: str = name, analyzer: Analyzer = analyzer) -> DataFrame:
+            rows = rows.select(key.alias("doc_id"), F.explode(by_term(analyzer.placed(F.col(f"`{name}`")))).alias("t"))
+            return rows.select("t.term", "doc_id", F.size("t.positions").cast("long").alias("tf"), "t.positions", "t.n")
+
+        rows = of(docs)
+        if again:
+            same = key.eqNullSafe(F.col("__id"))
+            shared = of(docs.join(repeated, same, "left_semi")).groupBy("doc_id", "n", "term").agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+            rows = of(docs.join(repeated, same, "left_anti")).unionByName(shared)
         parts.append(rows.select(F.lit(name).alias("field"), "term", "doc_id", "tf", "positions", (1.0 / F.sqrt("n")).alias("field_norm")))
     out = parts[0]
     for p in parts[1:]:

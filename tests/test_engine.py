@@ -89,6 +89,29 @@ def test_all_fields(docs):
     assert first.tf == 2 and first.positions == [1, 8]
 
 
+def test_postings_shuffle_nothing(spark):
+    """Documents' tokens are grouped within their rows; only rows of ids that come again meet."""
+    texts = [(1, "b a b. B c"), (2, ""), (3, None), (4, "zé zé a"), (5, " ".join(f"w{k % 700}" for k in range(3000)))]
+    rows = index.postings(spark.createDataFrame(texts, "doc_id long, t string"), ["t"])
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+    def want(texts):
+        out = {}
+        for i, words in ((i, (t or "").lower().replace(".", "").split()) for i, t in texts):
+            for at, w in enumerate(words):
+                out.setdefault((i, len(words), w), []).append(at)
+        return sorted((str(i), w, len(ps), sorted(ps), round(n**-0.5, 9)) for (i, n, w), ps in out.items())
+
+    def got(rows):
+        return sorted((str(r.doc_id), r.term, r.tf, r.positions, round(r.field_norm, 9)) for r in rows.collect())
+
+    assert got(rows) == want(texts)
+    again = [*texts, (1, "c b a x y"), (4, "a"), (None, "n o"), (None, "n p"), (2, "late")]
+    assert got(index.postings(spark.createDataFrame(again, "doc_id long, t string"), ["t"])) == want(again)
+    none = spark.createDataFrame([], "doc_id long, t string")
+    assert index.postings(none, ["t"]).count() == 0
+
+
 def test_scores(docs):
     found = {r.doc_id: r["_score"] for r in search.scored(docs, Term("content", "rust")).collect()}
     assert found[3] == 0.0 and found[1] > 0  # contained, but not a word
