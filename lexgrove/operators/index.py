@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SIMPLE, Analyzer
 
+#: Bytes of a row group of postings.
+ROW_GROUP = 16 << 20
 POSTINGS = "field string, term string, doc_id long, tf long, positions array<int>, field_norm double"
 
 
@@ -99,5 +101,8 @@ def index_stats(lengths: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def write_postings(rows: DataFrame, path: str, mode: str = "overwrite", compression: str = "zstd") -> None:
-    """Clustered by term, so a term's row groups are found by their statistics."""
-    rows.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode(mode).option("compression", compression).parquet(path)
+    """Each file ordered by term, so a term's row groups and pages are found by their statistics.
+
+    Files hold whole documents: a frequent term is spread over all of them, and no posting is shuffled.
+    """
+    rows.sortWithinPartitions("term", "doc_id").write.mode(mode).option("compression", compression).option("parquet.block.size", ROW_GROUP).parquet(path)

@@ -1,7 +1,7 @@
 """Search over a stored index: match sets and scores from postings, without reading texts.
 
-Postings and dictionary lie clustered by term, so a query reads the row groups of its own
-terms.  A posting holds its field's length (in ``field_norm``), so scores need no join
+Files of postings and dictionary are ordered by term, so a query reads the row groups and
+pages of its own terms.  A posting holds its field's length (in ``field_norm``), so scores need no join
 with lengths.  Terms match as analyzed words, not as parts of the text.
 """
 
@@ -58,7 +58,8 @@ class StoredIndex:
             plain = {n: self.fields.analyzer(n).plain(" ".join(q.terms)) for n in self._texts(q.field)}
             return self._any_of([expand.phrase(self.postings, ws, q.slop, n) for n, ws in plain.items() if ws])
         if isinstance(q, Prefix):
-            return self._of_terms(q.field, lambda d: expand.prefix(d, q.value.lower()))
+            begins = F.col("term").startswith(q.value.lower())  # found by the files' statistics, without the dictionary
+            return self._any_of([self.postings.where((F.col("field") == n) & begins).select("doc_id") for n in self._texts(q.field)])
         if isinstance(q, Wildcard):
             pattern = scan.wildcard_regex(q.pattern.lower(), anchored=True)
             return self._of_terms(q.field, lambda d: d.where(F.col("term").rlike(pattern)))

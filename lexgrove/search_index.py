@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .errors import InvalidArgument, InvalidState
-from .operators import index, search
+from .operators import index, layout, search
 from .operators.stored import StoredIndex
 from .plans import scan
 from .plans.ast import Node
 from .plans.parser import Parser
 from .schema import SearchSchema
-from .sources.readers import IndexReader, Kept, ReaderPool
+from .sources.readers import PARTS, IndexReader, Kept, ReaderPool
 from .sources.store import DocumentStore, Manifest, Snapshot, StoreConfig
 from .sources.txn import Isolation, Session, Transaction, TransactionManager
 
@@ -197,15 +197,17 @@ class SearchIndex:
         """Writes postings, dictionary and lengths of the current version; their folder."""
         snapshot = self.store.snapshot()
         docs, analyzers = snapshot.docs(), self.schema.analyzers()
+        spread = layout.pieces(docs, sum(s.size for s in snapshot.manifest.segments))
         base = f"postings/{snapshot.version}"
         at = self.store.files.at
-        index.write_postings(index.postings(docs, analyzers, analyzers), at(f"{base}/postings"))
+        index.write_postings(index.postings(spread, analyzers, analyzers), at(f"{base}/postings"))
         rows = self.spark.read.parquet(at(f"{base}/postings"))
         n = docs.count()
         index.dictionary(rows, n).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(at(f"{base}/dictionary"))
         lengths = rows.groupBy("doc_id", "field").agg(F.sum("tf").alias("dl"))
         lengths.write.mode("overwrite").parquet(at(f"{base}/lengths"))
-        tokens = {r.field: r.n for r in rows.groupBy("field").agg(F.sum("tf").alias("n")).collect()}  # a row a field
+        lengths = self.spark.read.schema(PARTS["lengths"]).parquet(at(f"{base}/lengths"))
+        tokens = {r.field: r.n for r in lengths.groupBy("field").agg(F.sum("dl").alias("n")).collect()}  # a row a field
         self.store.files.remove(f"{base}/_totals.json")
         self.store.files.create(f"{base}/_totals.json", json.dumps({"n_docs": n, "tokens": tokens}))
         self.index_reader.kept.clear()

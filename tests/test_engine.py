@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexgrove.errors import Conflict, InvalidArgument, InvalidInput, InvalidState, NotFound, OutOfMemory, StorageError, UnsupportedQuery
-from lexgrove.operators import expand, index, search
+from lexgrove.operators import expand, index, layout, search
 from lexgrove.operators.scoring import BM25
 from lexgrove.plans import scan
 from lexgrove.plans.ast import Bool, Fuzzy, MatchAll, Phrase, Prefix, Range, Term, Wildcard
@@ -112,6 +112,18 @@ def test_postings_shuffle_nothing(spark):
     assert index.postings(none, ["t"]).count() == 0
 
 
+def test_frequent_terms_are_spread_over_files(spark, tmp_path):
+    """No task gets all postings of a term, and each file is in order."""
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(k, f"the w{k % 7} w{k}") for k in range(300)], "doc_id long, t string")
+    index.write_postings(index.postings(layout.pieces(docs, 200 << 20), ["t"]), f"{tmp_path}/p")
+    files = [pq.read_table(f).to_pylist() for f in sorted((tmp_path / "p").glob("*.parquet"))]
+    assert len(files) == 13 and all(any(r["term"] == "the" for r in f) for f in files)
+    assert all([(r["term"], r["doc_id"]) for r in f] == sorted((r["term"], r["doc_id"]) for r in f) for f in files)
+    assert sum(map(len, files)) == spark.read.parquet(f"{tmp_path}/p").select("term", "doc_id").distinct().count() == index.postings(docs, ["t"]).count()
+
+
 def test_scores(docs):
     found = {r.doc_id: r["_score"] for r in search.scored(docs, Term("content", "rust")).collect()}
     assert found[3] == 0.0 and found[1] > 0  # contained, but not a word
