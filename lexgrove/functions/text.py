@@ -11,7 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,12 +81,23 @@ class Tokenizer:
         )
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def running_sums(lengths: pd.Series) -> pd.Series:
-    """Sum of the items before each; arrays have no running fold, and growing one item by item is quadratic."""
-    import numpy as np
+def _lists(of: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The items of all lists of an Arrow array and the bounds of each list; null lists have none."""
+    counts = pc.fill_null(of.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    return of.flatten(), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+
+
+def _as_lists(items: pa.Array, bounds: np.ndarray, like: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), items, mask=like.is_null() if like.null_count else None)
 
-    return lengths.map(lambda n: np.cumsum(n) - n, na_action="ignore")
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def running_sums(lengths: pa.Array) -> pa.Array:
+    """Sum of the items before each; arrays have no running fold, and growing one item by item is quadratic."""
+    items, bounds = _lists(lengths)
+    before = np.concatenate([[0], np.cumsum(items.to_numpy(zero_copy_only=False), dtype=np.int64)])
+    sums = before[:-1] - np.repeat(before[bounds[:-1]], np.diff(bounds))
+    return _as_lists(pa.array(sums, pa.int32()), bounds, lengths)
 
 
 standard_tokenizer = Tokenizer(UNICODE_WORDS)
@@ -105,11 +119,15 @@ def stop_words(stop: Iterable[str] = ENGLISH_STOP_WORDS) -> Filter:
     return Filter(lambda tokens: F.filter(tokens, lambda t: ~t["text"].isin(listed)), lambda ws: [w for w in ws if w not in listed])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_words(found: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stem_words(found: pa.Array) -> pa.Array:
+    """Stems of lists of words; only a batch's distinct words become Python strings."""
     from .porter2 import stem
 
-    return found.map(lambda ws: [stem(w) for w in ws], na_action="ignore")
+    items, bounds = _lists(found)
+    coded = items.dictionary_encode()
+    stems = pa.array([stem(w) for w in coded.dictionary.to_pylist()], items.type)
+    return _as_lists(stems.take(coded.indices), bounds, found)
 
 
 @F.pandas_udf(T.StringType())

@@ -70,3 +70,22 @@ def test_registry():
 def test_swaps():
     assert osa("pythno", "python") == 1
     assert osa("abc", "") == 3
+
+
+def test_arrow_batches_stay_arrow():
+    """Words of a batch aren't made Python objects, but for the distinct ones; null and empty lists stay."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = ["running", "cats", "généreux", "generously"]
+    lists = [None, [], words, *[[words[(k + i) % 4] for i in range(300)] for k in range(2000)], None]
+    found = pa.array(lists, pa.list_(pa.string()))
+    tracemalloc.start()
+    stems = text.stem_words.func(found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 20
+    assert stems.to_pylist() == [None if ws is None else [stem(w) for w in ws] for ws in lists]
+    assert text.stem_words.func(found[1:3]).to_pylist() == [[], [stem(w) for w in words]]
+    assert text.running_sums.func(pa.array([[3, 4, 5], None, [], [7, 1]], pa.list_(pa.int32()))).to_pylist() == [[0, 3, 7], None, [], [0, 7]]
